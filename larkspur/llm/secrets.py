@@ -1,0 +1,205 @@
+"""Secret scan: known patterns, and a battery of randomness tests. DataFrame functions only.
+
+Patterns (the base) mark assignments, access keys and long hexadecimal runs. The battery looks at
+every other run of key-like characters. It infers the encoding (the smallest alphabet that holds
+the run), codes the characters, and takes three statistics:
+
+- chi-squared against a uniform alphabet,
+- the number of runs above and below the alphabet's middle,
+- the lag-1 serial correlation of the codes.
+
+Each is an equivalence test: the null hypothesis is that the run departs from randomness by at least
+a fixed effect, as words and identifiers do, so a small p-value speaks for a random string, and
+a longer run has more power. A run's p-value is the largest of its three (all three must reject).
+False discoveries over the whole corpus are controlled per stratum of length: within a stratum,
+Benjamini-Hochberg at ``FDR`` times the stratum's weight; weights grow with length and are at most 1.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from larkspur.llm.common import load, stored
+
+#: The patterns of the base, in the order of their kinds.
+PATTERNS = {
+    "assign": r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
+    "access": r"AKIA[A-Z0-9]+",
+    "hex": r"[0-9a-f]+",
+}
+LEAST = {"assign": 6, "access": 20, "hex": 24}
+#: The same matches as the pattern's that are long enough, without the short ones between.
+HEX_RUN = r"[0-9a-f]{24,}"
+RUN = r"[A-Za-z0-9+/_=-]{20,}"
+FDR = 0.01
+#: Departures that count as non-random: chi-squared per character, share of runs, correlation.
+EFFECT_CHI, EFFECT_RUNS, EFFECT_SERIAL = 0.9, 0.45, 0.45
+#: Alphabets in the order in which they are tried.
+ALPHABETS = [
+    ("decimal", "0123456789"),
+    ("hex", "0123456789abcdef"),
+    ("HEX", "0123456789ABCDEF"),
+    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("lower", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("upper", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("url64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+]
+#: p-values are counted on this many steps a decade.
+STEPS = 20
+
+
+def hits(text: Column, pattern: str) -> Column:
+    """The leftmost matches that don't overlap, as texts."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def places(text: Column, whole: Column, pattern: str, least: int, group: int = 0) -> Column:
+    """Array of (start, end, hit, n) for the matches ``whole`` of ``pattern``, short ones dropped after.
+
+    Spark's functions give the matches and the pieces between them; the places are running sums
+    of their lengths, in code points. Most texts have no match and take the first branch.
+    """
+    value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(whole))
+    pairs = F.arrays_zip(gaps.alias("gap"), whole.alias("hit"), value.alias("value"))
+    none = F.array().cast("array<struct<start:int,end:int,hit:string,n:int>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        s = acc["at"] + F.length(p["gap"])
+        e = s + F.length(p["hit"])
+        n = F.length(p["value"])
+        one = F.struct(s.alias("start"), e.alias("end"), p["hit"].alias("hit"), n.alias("n"))
+        return F.struct(e.alias("at"), F.when(n >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+
+    return F.when(F.size(whole) == 0, none).otherwise(F.aggregate(pairs, start, step)["out"])
+
+
+def _upper_tail(z: Column) -> Column:
+    """P(N(0,1) > z), by the rational approximation of Abramowitz and Stegun 26.2.17 (fixed values)."""
+    a = F.abs(z)
+    t = 1 / (1 + 0.2316419 * a)
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    tail = F.exp(-a * a / 2) * 0.3989422804014327 * poly
+    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+
+def battery(run: Column) -> Column:
+    """(encoding, p-value) of one run of characters. Padding at the end isn't part of the data."""
+    body = F.regexp_replace(run, "=+$", "")
+    name, alphabet = F.lit("mixed"), F.lit(ALPHABETS[-2][1] + "-_=")
+    for label, chars in reversed(ALPHABETS):
+        inside = F.translate(body, chars, "") == ""
+        name, alphabet = F.when(inside, F.lit(label)).otherwise(name), F.when(inside, F.lit(chars)).otherwise(alphabet)
+
+    def statistics(v: Column) -> Column:
+        n, k = F.length(v["body"]).cast("double"), F.length(v["alphabet"]).cast("double")
+        codes = F.transform(F.split(v["body"], ""), lambda ch: (F.call_function("instr", v["alphabet"], ch) - 1).cast("double"))
+        return F.struct(v["name"].alias("name"), n.alias("n"), k.alias("k"), codes.alias("codes"), F.size(F.array_distinct(codes)).cast("double").alias("kinds"))
+
+    def test(v: Column) -> Column:
+        n, k, codes = v["n"], v["k"], v["codes"]
+        squares = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda acc, c: acc + F.pow(F.size(F.filter(codes, lambda x: x == c)).cast("double"), F.lit(2.0)))
+        chi = squares * k / n - n
+        away = n * EFFECT_CHI
+        p_chi = _upper_tail((k - 1 + away - chi) / F.sqrt(2 * (k - 1 + 2 * away)))
+        head, tail = F.slice(codes, 1, n.cast("int") - 1), F.slice(codes, 2, n.cast("int") - 1)
+        sides = F.zip_with(head, tail, lambda a, b: F.when((a >= k / 2) != (b >= k / 2), 1.0).otherwise(0.0))
+        share = F.aggregate(sides, F.lit(0.0), lambda acc, x: acc + x) / (n - 1)
+        p_runs = _upper_tail((EFFECT_RUNS - F.abs(share - 0.5)) * 2 * F.sqrt(n - 1))
+        mean = F.aggregate(codes, F.lit(0.0), lambda acc, x: acc + x) / n
+        var = F.aggregate(codes, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
+        cov = F.aggregate(F.zip_with(head, tail, lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda acc, x: acc + x)
+        r = F.when(var > 0, cov / F.when(var > 0, var)).otherwise(1.0)
+        p_serial = _upper_tail((EFFECT_SERIAL - F.abs(r)) * F.sqrt(n - 1))
+        p = F.greatest(p_chi, p_runs, p_serial, F.lit(1e-12))
+        return F.struct(v["name"].alias("encoding"), F.when(n >= 16, p).otherwise(1.0).alias("p"))
+
+    one = F.array(F.struct(body.alias("body"), name.alias("name"), alphabet.alias("alphabet")))
+    return F.element_at(F.transform(F.transform(one, statistics), test), 1)
+
+
+def _weight(n: Column) -> Column:
+    """Of the stratum of runs of n characters: 1/4 under 24, 1/2 under 32, 1 from there."""
+    return F.when(n < 24, 0.25).when(n < 32, 0.5).otherwise(1.0)
+
+
+def _step(p: Column) -> Column:
+    return F.floor(-F.log10(p) * STEPS).cast("int")
+
+
+def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, the columns in ``keep``, the base matches (arrays
+    ``assign``, ``access``, ``hex``) and ``spans``, all spans as (kind, start, end) in order.
+
+    A null text is the empty one; rows that repeat are scanned each for themselves. The texts are read
+    once; what was found in them is stored, and the counts of p-values that set the thresholds
+    (some hundred numbers) come from there. Runs that overlap a base span are not tested.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    wanted = {"assign": (PATTERNS["assign"], LEAST["assign"], 2), "access": (PATTERNS["access"], LEAST["access"], 0), "hex": (HEX_RUN, LEAST["hex"], 0), "runs": (RUN, 0, 0)}
+    base = docs.select("doc_id", *keep, text.alias("_t"))
+    base = base.select("*", *[hits(F.col("_t"), p).alias(f"_{k}") for k, (p, _, _) in wanted.items()])
+    base = base.select("doc_id", *keep, *[places(F.col("_t"), F.col(f"_{k}"), p, least, g).alias(k) for k, (p, least, g) in wanted.items()])
+    taken = F.concat("assign", "access", "hex")
+    free = F.filter("runs", lambda r: ~F.exists(taken, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    tested = F.transform(free, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["n"].alias("n"), battery(r["hit"]).alias("test")))
+    found = stored(base.select("doc_id", *keep, "assign", "access", "hex", tested.alias("runs")), "secrets")
+
+    runs = found.select(F.explode("runs").alias("r")).select(_weight(F.col("r.n")).alias("weight"), _step(F.col("r.test.p")).alias("step"))
+    limits: dict[float, int] = {}
+    counts: dict[float, dict[int, int]] = {}
+    for row in runs.groupBy("weight", "step").count().collect():  # three strata of 241 steps at most
+        counts.setdefault(row["weight"], {})[row["step"]] = row["count"]
+    for weight, steps in counts.items():
+        total, above = sum(steps.values()), 0
+        for step in sorted(steps, reverse=True):
+            above += steps[step]
+            if 10 ** (-step / STEPS) * total <= FDR * weight * above:
+                limits[weight] = step
+    limit = F.lit(None).cast("int")
+    for weight, step in limits.items():
+        limit = F.when(_weight(F.col("x.n")) == weight, F.lit(step)).otherwise(limit)
+
+    def named(kind: str, order: int, column: str) -> Column:
+        return F.transform(F.col(column), lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("order"), m["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    def passes(r: Column) -> Column:
+        out = F.lit(False)
+        for weight, step in limits.items():
+            out = out | ((_weight(r["n"]) == weight) & (_step(r["test"]["p"]) >= step))
+        return out
+
+    found = found.withColumn("random", F.filter("runs", passes))
+    kinds = F.array_sort(F.concat(*[named(k, i, k) for i, k in enumerate(("assign", "access", "hex"))]))
+    every = F.array_sort(F.concat(kinds, named("random", 3, "random")))
+    return found.select("doc_id", *keep, "assign", "access", "hex", "random", kinds.alias("base"), every.alias("spans"))
+
+
+def joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every span replaced by ``mark``; overlapping spans become one mark. Nothing else changes."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = scan(docs, ("text", *others))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        cut = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], cut).otherwise(acc["out"]).alias("out"))
+
+    done = F.aggregate("spans", start, step)
+    text = F.when(F.size("spans") > 0, F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text")))).otherwise(F.col("text"))
+    return found.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+
+
+def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
+    out = scan(load(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    )
