@@ -117,7 +117,7 @@ def key_filter(keys: DataFrame, column: str, at_least: int = 1 << 20, at_most: i
     while bits < 32 * n and bits < at_most:
         bits *= 2
     h = F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(bits))
-    words = keys.select(F.floor(h / 64).cast("int").alias("w"), F.shiftleft(F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int")).alias("b"))
+    words = keys.select(F.floor(h / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int")).alias("b"))
     got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
@@ -126,7 +126,7 @@ def key_filter(keys: DataFrame, column: str, at_least: int = 1 << 20, at_most: i
 
 def filter_bit(bits: int, column: str) -> Column:
     """The bit number that ``key_filter`` uses, as a column, for tests in Python."""
-    return F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(bitmap_bits))
+    return F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(bits))
 
 
 def has_bit(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:

@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from larkspur.llm import bpe, decontam, secrets, sharding, warc
+from larkspur.llm import bpe, decontam, repeats, secrets, sharding, warc
 
-QUERIES = {f.__name__: f for f in (decontam.op2_decontamination, sharding.op3_hilbert_sharding, warc.op5_warc_normaliser, secrets.op6_secret_scan, bpe.op7_bpe)}
-SQL = {"op2_decontamination": decontam.sql(), "op5_warc_normaliser": warc.sql()}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        decontam.op2_decontamination,
+        sharding.op3_hilbert_sharding,
+        warc.op5_warc_normaliser,
+        secrets.op6_secret_scan,
+        bpe.op7_bpe,
+        repeats.op9_substring_dedup,
+    )
+}
+SQL = {"op2_decontamination": decontam.sql(), "op5_warc_normaliser": warc.sql(), "op9_substring_dedup": repeats.sql()}
