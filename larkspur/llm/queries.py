@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from larkspur.llm import bpe, decontam, repeats, secrets, sharding, warc
+from larkspur.llm import bpe, decontam, repeats, secrets, sharding, topk, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
+        topk.op1_topk_pivots,
         decontam.op2_decontamination,
         sharding.op3_hilbert_sharding,
         warc.op5_warc_normaliser,
@@ -15,4 +16,4 @@ QUERIES = {
         repeats.op9_substring_dedup,
     )
 }
-SQL = {"op2_decontamination": decontam.sql(), "op5_warc_normaliser": warc.sql(), "op9_substring_dedup": repeats.sql()}
+SQL = {"op1_topk_pivots": topk.SQL, "op2_decontamination": decontam.sql(), "op5_warc_normaliser": warc.sql(), "op9_substring_dedup": repeats.sql()}
