@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.llm import bpe, decontam, repeats, secrets, sharding, topk, warc
+from larkspur.llm import bpe, decontam, repeats, secrets, sharding, topk, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,7 @@ QUERIES = {
         warc.op5_warc_normaliser,
         secrets.op6_secret_scan,
         bpe.op7_bpe,
+        toxicity.op8_toxicity,
         repeats.op9_substring_dedup,
     )
 }
