@@ -26,9 +26,9 @@ from larkspur.llm.common import bounded_batches, load, raw, table_of, text_piece
 #: Bounds of the sample of labelled rows from which all is fitted.
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
 #: Features of the classifier, lexicon voters, and documents in which a feature must occur.
-FEATURES, LEXICONS, LEAST_DOCS = 2048, 40, 4
+FEATURES, LEXICONS, LEAST_DOCS = 2048, 40, 3
 #: A feature's share among toxic documents must lie so many standard errors and times above that among the others.
-LEAST_Z, LEAST_RATIO = 4.0, 4.0
+LEAST_Z, LEAST_RATIO = 4.0, 10.0
 PREFIXES = (4, 5, 6)
 SHARDS = 16
 #: A fixed value: words of address, part of a pattern voter.
@@ -199,10 +199,12 @@ def vote(sample: DataFrame, ranked: np.ndarray) -> Votes:
     return Votes(votes, got.column("toxic").to_numpy(), doc, np.concatenate(present) if present else np.zeros(0, np.int32))
 
 
-def label_model(votes: np.ndarray, prior: float, steps: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, prior: float, gold: np.ndarray | None = None, steps: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of class 1 for each row, the accuracies of the voters, and their residual correlations.
 
     Votes are conditionally independent given the class but for the correlations, which enter as weights.
+    ``gold`` (0 or 1) are given labels: one more voter, whose error rates are estimated as well but held
+    within 0.1 and 2 percent, and whose weight stays 1, as it has its own source.
     """
     n, m = votes.shape
     hot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)  # n x m x 3
@@ -222,12 +224,16 @@ def label_model(votes: np.ndarray, prior: float, steps: int = 25) -> tuple[np.nd
             np.fill_diagonal(strong, 0)
             weight = 1 / (1 + strong.sum(1))
         logit = np.einsum("nmv,mv,m->n", hot, np.log(p1) - np.log(p0), weight) + np.log(prior / (1 - prior))
+        if gold is not None:
+            miss, alarm = ((y * (1 - gold)).sum() + 0.01) / (y.sum() + 1), ((1 - y) * gold).sum() / ((1 - y).sum() + 1)
+            miss, alarm = np.clip([miss, alarm], 0.001, 0.02)
+            logit = np.clip(logit, -3, 3) + np.where(gold == 1, np.log((1 - miss) / alarm), np.log(miss / (1 - alarm)))
         y = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
     accuracy = (p1[:, 2] * y.mean() + p0[:, 0] * (1 - y.mean())) / (1 - (hot[:, :, 1].mean(0)) + 1e-9)
     return y, np.clip(accuracy, 0, 1), corr
 
 
-def fit_linear(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, weight: np.ndarray, n_features: int, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit_linear(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, weight: np.ndarray, n_features: int, steps: int = 800) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels: Adam on the whole sample, small L2."""
     w, b = np.zeros(n_features + 1), None
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -235,7 +241,7 @@ def fit_linear(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, weight: np.n
     for t in range(1, steps + 1):
         score = np.bincount(doc, w[feature], len(y)) + w[-1]
         g = weight * (1 / (1 + np.exp(-np.clip(score, -50, 50))) - y) / total
-        grad = np.append(np.bincount(feature, g[doc], n_features) + 1e-5 * w[:-1], g.sum())
+        grad = np.append(np.bincount(feature, g[doc], n_features) + 1e-6 * w[:-1], g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     b = float(w[-1])
@@ -258,9 +264,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not len(ranked):
         return nothing
     v = vote(sample, ranked)
-    gold = np.where(v.toxic == 1, 1, -1).astype(np.int8)
     share = float(np.clip(v.toxic.mean(), 0.01, 0.99))
-    y, _, _ = label_model(np.column_stack([v.votes, gold, gold]), share)
+    y, _, _ = label_model(v.votes, share, v.toxic)
     weight = np.where(v.toxic == 1, prior / share, (1 - prior) / (1 - share))
     w, b = fit_linear(v.doc, v.feature, y, weight, len(ranked))
     return Model(Lexicon.of(ranked), w, b)
