@@ -164,12 +164,18 @@ def _marks(d: np.ndarray, s: np.ndarray) -> pa.Table:
 
 
 def mark_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, starts): the windows whose word sequence also starts earlier. A null doc_id is the smallest id."""
+    """(doc_id, starts): the windows whose word sequence also starts earlier, one row per document that has any.
+
+    A null doc_id is the smallest id. Marks leave the groups as packed arrays, a row for each group and
+    share of the documents, and meet again per share.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     counts = count_prefixes(docs, window)
     most = int(min(max(counts.sum() // (4 * spark.sparkContext.defaultParallelism), 100_000), GROUP_WINDOWS))
-    plan = spark.sparkContext.broadcast(plan_groups(counts, most))  # two numbers for each slot
+    base, parts = plan_groups(counts, most)
+    plan = spark.sparkContext.broadcast((base, parts))  # two numbers for each slot
+    shares = max(4 * spark.sparkContext.defaultParallelism, int((base + parts).max()) // 2)
 
     def run(batches):
         base, parts = plan.value
@@ -217,19 +223,29 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if own:
             _, later = settle(h, d, s)
             d, s = d[later], s[later]
-        return _marks(d, s)
+        share = (X.mix(d.view(X.U)) % X.U(shares)).astype(np.int64)
+        order = np.lexsort((s, d, share))
+        d, s, share = d[order], s[order], share[order]
+        cut = np.flatnonzero(np.concatenate([[True], share[1:] != share[:-1]])) if len(d) else np.zeros(0, np.int64)
+        packed = [pack(d[a:b], s[a:b]) for a, b in zip(cut, np.append(cut[1:], len(d)))]
+        return pa.table({"share": pa.array(share[cut], pa.int64()), "packed": pa.array(packed, pa.binary())})
+
+    def gather(key, table):
+        d, s, _ = zip(*[unpack(raw.as_buffer(), False) for raw in table.column("packed")])
+        return _marks(np.concatenate(d), np.concatenate(s))
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "group long, packed binary").groupBy("group").applyInArrow(trees, MARKS)
+    sent = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "group long, packed binary")
+    marked = sent.groupBy("group").applyInArrow(trees, "share long, packed binary")
+    return marked.groupBy("share").applyInArrow(gather, MARKS)
 
 
-def _clean(text: bytes, marks: list[bytes], window: int) -> tuple[bytes, int]:
+def _clean(text: bytes, starts: bytes, window: int) -> tuple[bytes, int]:
     words = text.split()
     edge = np.zeros(len(words) + window + 1, np.int64)
-    for raw in marks:
-        s = np.frombuffer(raw, "<u4").astype(np.int64)
-        s = s[s + window <= len(words)]
-        np.add.at(edge, s, 1)
-        np.add.at(edge, s + window, -1)
+    s = np.unique(np.frombuffer(starts, "<u4")).astype(np.int64)
+    s = s[s + window <= len(words)]
+    edge[s] += 1
+    edge[s + window] -= 1
     keep = np.cumsum(edge)[: len(words)] == 0
     return b" ".join(compress(words, keep.tolist())), int(len(words) - keep.sum())
 
@@ -263,8 +279,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
     id_type = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", key.alias("_key"), "text").withColumn("_bit", filter_bit(bits, "_key"))
     rows = rows.mapInArrow(split, f"doc_id {id_type}, _key long, n_words long, sha string, _text binary")
-    lists = marks.groupBy(F.col("doc_id").alias("_k")).agg(F.collect_list("starts").alias("marks"))
-    both = rows.join(lists, F.col("_key") == F.col("_k"), "left").select("doc_id", "n_words", "sha", "_text", "marks")
+    marks = marks.select(F.col("doc_id").alias("_k"), F.col("starts").alias("marks"))
+    both = rows.join(marks, F.col("_key") == F.col("_k"), "left").select("doc_id", "n_words", "sha", "_text", "marks")
 
     def clean(batches):
         for batch in batches:
@@ -272,7 +288,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
             for text, own, starts in zip(*[batch.column(c).to_pylist() for c in ("_text", "sha", "marks")]):
                 n = 0
                 if own is None:
-                    text, n = _clean(text, starts or [], window)
+                    text, n = _clean(text, starts or b"", window)
                     own = hashlib.sha256(text).hexdigest()
                 removed.append(n)
                 sha.append(own)
