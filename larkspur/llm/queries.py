@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.llm import bpe, decontam, repeats, secrets, sharding, topk, toxicity, warc
+from larkspur.llm import bpe, decontam, lm, repeats, secrets, sharding, topk, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES = {
         bpe.op7_bpe,
         toxicity.op8_toxicity,
         repeats.op9_substring_dedup,
+        lm.op10_maxent_lm,
     )
 }
 SQL = {"op1_topk_pivots": topk.SQL, "op2_decontamination": decontam.sql(), "op5_warc_normaliser": warc.sql(), "op9_substring_dedup": repeats.sql()}
