@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import textnum as X
-from larkspur.llm.common import bounded_batches, load, stored, text_pieces
+from larkspur.llm.common import bounded_batches, filter_bit, has_bit, key_filter, load, stored, text_pieces
 from larkspur.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -396,6 +396,32 @@ def near_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component, that with the smallest doc_id.
+
+    Only the others' ids are joined: a bitmap of them, of bounded size, lets most rows pass unshuffled.
+    Rows without a doc_id stay; rows that repeat a doc_id that stays, all stay.
+    """
+    spark = docs.sparkSession
+    near = near_components(docs).where("component_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").cast("bigint").alias("_gone")).distinct()
+    near = stored(near, "gone")
+    bitmap = key_filter(near, "_gone")
+    shared = spark.sparkContext.broadcast(bitmap)  # 16 MB at most
+    bit = docs.withColumn("_bit", F.coalesce(filter_bit(64 * len(bitmap), "doc_id"), F.lit(-1)))
+
+    def side(hit: bool):
+        def run(batches):
+            for batch in batches:
+                bits = batch.column("_bit").to_numpy()
+                maybe = has_bit(shared.value, np.maximum(bits, 0)) & (bits >= 0)
+                yield batch.drop_columns(["_bit"]).filter(pa.array(maybe == hit))
+
+        return bit.mapInArrow(run, docs.schema)
+
+    apart = side(True).join(near, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return side(False).unionByName(apart)
+
+
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_components(load(spark, sf_dir, "documents"))
 
