@@ -32,9 +32,9 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: The same matches as the pattern's that are long enough, without the short ones between.
 HEX_RUN = r"[0-9a-f]{24,}"
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
-FDR = 0.01
+FDR = 0.05
 #: Departures that count as non-random: chi-squared per character, share of runs, correlation.
-EFFECT_CHI, EFFECT_RUNS, EFFECT_SERIAL = 0.9, 0.45, 0.45
+EFFECT_CHI, EFFECT_RUNS, EFFECT_SERIAL = 1.2, 0.5, 0.75
 #: Alphabets in the order in which they are tried.
 ALPHABETS = [
     ("decimal", "0123456789"),

@@ -23,8 +23,8 @@ from larkspur.llm.common import bounded_batches, load, stored
 SCALE = 1024
 #: Pivots, vectors from which they are chosen, queries of one pass, vectors of one block.
 PIVOTS, SAMPLE, QUERY_BLOCK, BLOCK = 24, 1024, 4096, 8192
-#: Float bounds are widened by so much of the squared lengths.
-SLACK = 1e-5
+#: Bounds are widened by so much of the squared lengths, and distances by the root of so much.
+SLACK, ROUNDING = 1e-9, 1e-12
 SCHEMA = "query_id long, vec_id long, score long"
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -64,14 +64,17 @@ class Side(NamedTuple):
 
     ids: np.ndarray
     q: np.ndarray
-    far: np.ndarray  #: distances to the pivots
+    far: tuple[np.ndarray, np.ndarray]  #: distances to the pivots, and how much they may be off
     pivots: np.ndarray
     reached: np.ndarray  #: a score that k vectors of the sample reach, or the lowest number
 
 
-def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    gap = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * (x @ pivots.T)
-    return np.sqrt(np.maximum(gap, 0))
+def distances(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of rows to pivots, and bounds of the rounding errors in them."""
+    squares = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :]
+    gap = np.maximum(squares - 2 * (x @ pivots.T), 0)
+    low, high = np.sqrt(np.maximum(gap - ROUNDING * squares, 0)), np.sqrt(gap + ROUNDING * squares)
+    return (low + high) / 2, (high - low) / 2
 
 
 def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
@@ -79,7 +82,7 @@ def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
     chosen = [np.zeros(sample.shape[1])]
     near = np.full(len(sample), np.inf)
     while len(chosen) < n:
-        near = np.minimum(near, distances(sample, chosen[-1][None])[:, 0])
+        near = np.minimum(near, distances(sample, chosen[-1][None])[0][:, 0])
         best = int(near.argmax())
         if near[best] <= 0:
             break
@@ -87,11 +90,13 @@ def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
     return np.array(chosen)
 
 
-def search(side: Side, i: int, ids: np.ndarray, x: np.ndarray, norms: np.ndarray, far: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def search(side: Side, i: int, ids: np.ndarray, x: np.ndarray, norms: np.ndarray, far: tuple[np.ndarray, np.ndarray], k: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Merge a block of candidates into the best (ids, scores) of query ``i``."""
     q = side.q[i]
     qq = float(q @ q)
-    gap = np.abs(far - side.far[i]).max(1)
+    gap = np.abs(far[0] - side.far[0][i])
+    gap -= far[1] + side.far[1][i]
+    gap = np.maximum(gap.max(1), 0)
     bound = (qq + norms - gap * gap) / 2 + SLACK * (qq + norms) + 1
     b_ids, b_scores = best
     floor = max(int(side.reached[i]), int(b_scores[-1]) if len(b_scores) >= k else LOW)
@@ -154,7 +159,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int
                 scores = products(s[s_ids != ids[i]], q[i])
                 if len(scores) >= k:
                     reached[i] = np.partition(scores, len(scores) - k)[len(scores) - k]
-            sides[d] = Side(ids, q, distances(q, pivots).astype(np.float32), pivots, reached)
+            sides[d] = Side(ids, q, distances(q, pivots), pivots, reached)
         shared = spark.sparkContext.broadcast(sides)  # bounded by query_block
 
         def run(batches, shared=shared):
@@ -164,7 +169,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int
             def scan(d):
                 ids, x = (np.concatenate(p) for p in zip(*held.pop(d)))
                 side = shared.value[d]
-                far, norms = distances(x, side.pivots).astype(np.float32), (x * x).sum(1)
+                far, norms = distances(x, side.pivots), (x * x).sum(1)
                 mine = best.setdefault(d, [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(side.ids))
                 for i in range(len(side.ids)):
                     mine[i] = search(side, i, ids, x, norms, far, k, mine[i])
