@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from larkspur.llm.common import bounded_batches, load, table_of
 
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _BIG = 1 << 60
 
 
@@ -133,7 +133,7 @@ class Codec:
     def pair_fits(self, a: int, b: int) -> bool:
         out = self.fits.get((a, b))
         if out is None:
-            if len(self.fits) > 4 * REMEMBERED:
+            if len(self.fits) > 2 * REMEMBERED:
                 self.fits.clear()
             out = self.fits[a, b] = self._compatible(a, b)
         return out

@@ -26,7 +26,7 @@ from larkspur.llm.common import bounded_batches, filter_bit, has_bit, key_filter
 
 WINDOW = 20
 #: Windows that a task settles at once, and windows of a group.
-TASK_WINDOWS, GROUP_WINDOWS = 2_500_000, 1_500_000
+TASK_WINDOWS, GROUP_WINDOWS = 1_500_000, 1_000_000
 #: Prefixes are counted in so many slots: 2**12 for one word, split in 2**4 each by the second.
 ONE, TWO = 12, 4
 NULL_ID = -(1 << 63)

@@ -7,7 +7,6 @@ or n-grams share one with a probability of about 2**-64 a pair.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -32,15 +31,25 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-@lru_cache(maxsize=8)
+#: Powers up to so many are kept; a longer text makes its own.
+KEPT = 1 << 20
+_kept: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.concatenate([np.ones(1, U), np.cumprod(np.full(n - 1, base, U), dtype=U)])
+    out = np.full(n, base, U)
+    out[:1] = 1
+    return np.cumprod(out, dtype=U, out=out)
 
 
 def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
-    size = 1 << max(10, int(n).bit_length())
-    return _powers(pow(base, -1, 1 << 64) if inverse else base, size)[:n]
+    """base**0 to base**(n-1), or of its inverse, modulo 2**64."""
+    base = pow(base, -1, 1 << 64) if inverse else base
+    if n > KEPT + 1:
+        return _powers(base, n)
+    if base not in _kept:
+        _kept[base] = _powers(base, KEPT + 1)
+    return _kept[base][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import textnum as X
-from larkspur.llm.common import bounded_batches, load, raw, table_of, text_pieces
+from larkspur.llm.common import bounded_batches, load, text_pieces
 
 #: Bounds of the sample of labelled rows from which all is fitted.
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
@@ -171,26 +171,27 @@ def vote(sample: DataFrame, ranked: np.ndarray) -> Votes:
     def run(batches):
         lex, voter, sure = shared.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            buf, off = raw(table_of(batch, "text"))
-            d, f = lex.present(buf, off)
-            n = len(texts)
-            votes = np.zeros((n, LEXICONS + 5), np.int8)
-            hits = np.bincount(d, minlength=n)
-            strong = np.bincount(d[sure[f]], minlength=n)
-            if len(f):
-                votes[d[sure[f]], voter[f[sure[f]]]] = 1
-            size = np.maximum(np.diff(off), 1)
-            for i, t in enumerate(texts):
-                upper = sum(map(str.isupper, t[:5000]))
-                votes[i, LEXICONS] = 1 if upper > 0.3 * max(len(t[:5000]), 1) else 0
-                votes[i, LEXICONS + 1] = 1 if strong[i] and SHOUT.search(t) else 0
-                votes[i, LEXICONS + 2] = 1 if strong[i] and ADDRESS.search(t) else 0
-            votes[:, LEXICONS + 3] = np.where(strong == 0, -1, 0)
-            votes[:, LEXICONS + 4] = np.where(strong * 2000 >= size, 1, np.where(hits * 4000 < size, -1, 0))
-            cut = np.searchsorted(d, np.arange(n + 1))
-            present = [f[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([v.tobytes() for v in votes], pa.binary()), batch.column("toxic").cast(pa.int32()), pa.array(present, pa.binary())], ["doc_id", "votes", "toxic", "present"])
+            texts, ids = batch.column("text"), batch.column("doc_id").cast(pa.int64())
+            for lo, hi, buf, off in text_pieces(batch):
+                d, f = lex.present(buf, off)
+                n = hi - lo
+                votes = np.zeros((n, LEXICONS + 5), np.int8)
+                hits = np.bincount(d, minlength=n)
+                strong = np.bincount(d[sure[f]], minlength=n)
+                if len(f):
+                    votes[d[sure[f]], voter[f[sure[f]]]] = 1
+                size = np.maximum(np.diff(off), 1)
+                capitals = np.concatenate([[0], np.cumsum((buf >= 65) & (buf <= 90))])
+                votes[:, LEXICONS] = capitals[off[1:]] - capitals[off[:-1]] > 0.3 * size
+                for i in np.flatnonzero(strong).tolist():
+                    t = texts[lo + i].as_py()
+                    votes[i, LEXICONS + 1] = bool(SHOUT.search(t))
+                    votes[i, LEXICONS + 2] = bool(ADDRESS.search(t))
+                votes[:, LEXICONS + 3] = np.where(strong == 0, -1, 0)
+                votes[:, LEXICONS + 4] = np.where(strong * 2000 >= size, 1, np.where(hits * 4000 < size, -1, 0))
+                cut = np.searchsorted(d, np.arange(n + 1))
+                present = [f[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
+                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array([v.tobytes() for v in votes], pa.binary()), batch.column("toxic").cast(pa.int32())[lo:hi], pa.array(present, pa.binary())], ["doc_id", "votes", "toxic", "present"])
 
     got = sample.mapInArrow(run, "doc_id long, votes binary, toxic int, present binary").toArrow().sort_by("doc_id")
     votes = np.frombuffer(b"".join(got.column("votes").to_pylist()), np.int8).reshape(got.num_rows, -1)
