@@ -73,6 +73,16 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all but the text as one column ``_row``, so that no name of the input meets one of ours."""
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], text: Column | None = None) -> DataFrame:
+    """The columns of the input again, with ``text`` as it is now."""
+    return df.select(*[(F.col("text") if text is None else text).alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in columns])
+
+
 def table_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A string column with null as the empty text and 64-bit offsets."""
     col = batch.column(batch.schema.get_field_index(name))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import textnum as X
-from larkspur.llm.common import bounded_batches, load, stored, text_pieces
+from larkspur.llm.common import bounded_batches, load, packed, stored, text_pieces, unpacked
 
 #: Words of a window, and words of the items of one automaton.
 WINDOW, BLOCK_WORDS = 8, 1_000_000
@@ -241,11 +241,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: t
 def removed_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_words: int = WINDOW, most_share: float = 0.5, mark: str = " ") -> DataFrame:
     """``docs`` cleaned: runs of at least ``least_words`` hit words are cut out of the text, and
     documents with more than ``most_share`` of their words hit go altogether."""
-    columns, schema = docs.columns, docs.schema
-
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            texts = batch.column("text").to_pylist()
             hits, counts = batch.column("hits").to_pylist(), batch.column("n_words").to_pylist()
             keep, new = [], []
             for text, raw, n in zip(texts, hits, counts):
@@ -262,10 +260,12 @@ def removed_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
                             at = spans[e - 1][1]
                     text = mark.join([*out, text[at:]]) if out else text
                 new.append(text)
-            cols = [pa.array(new, pa.string()) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays(cols, columns).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), batch.column("_row")], ["text", "_row"]).filter(pa.array(keep, pa.bool_()))
 
-    return matches(docs, benchmark, window, tuple(columns)).mapInArrow(run, schema)
+    found = matches(packed(docs), benchmark, window, ("text", "_row"))
+    row = found.schema["_row"].dataType.simpleString()
+    cut = found.select("text", "hits", "n_words", "_row").mapInArrow(run, f"text string, _row {row}")
+    return unpacked(cut, docs.columns)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import load, stored
+from larkspur.llm.common import load, packed, stored, unpacked
 
 #: The patterns of the base, in the order of their kinds.
 PATTERNS = {
@@ -184,8 +184,7 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; overlapping spans become one mark. Nothing else changes."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = scan(docs, ("text", *others))
+    found = scan(packed(docs), ("text", "_row"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -194,7 +193,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     done = F.aggregate("spans", start, step)
     text = F.when(F.size("spans") > 0, F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text")))).otherwise(F.col("text"))
-    return found.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return unpacked(found, docs.columns, text)
 
 
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import textnum as X
-from larkspur.llm.common import bounded_batches, load, text_pieces
+from larkspur.llm.common import bounded_batches, load, packed, text_pieces, unpacked
 
 #: Bounds of the sample of labelled rows from which all is fitted.
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
@@ -295,8 +295,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents whose score is 0.5 or more."""
-    columns = tuple(docs.columns)
-    return score(docs, train(docs, labels), columns).where("score < 0.5").select(*columns)
+    return unpacked(score(packed(docs), train(docs, labels), ("text", "_row")).where("score < 0.5"), docs.columns)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -461,3 +461,14 @@ def test_key_filter(spark):
     got = spark.range(2000).select(common.filter_bit(64 * len(bitmap), "id")).toPandas().iloc[:, 0].to_numpy()
     hit = common.has_bit(bitmap, got)
     assert hit[::2].all() and hit[1::2].mean() < 0.1
+
+
+def test_stages_keep_columns_with_clashing_names(spark, docs):
+    """Names that the operators use inside, on the input; all but the text stay as they are."""
+    names = "score spans base hits n_words items random assign a b comp id sid shard packed _hits".split()
+    wide = docs.withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    lab = spark.createDataFrame([(i, 0) for i in range(30)], "doc_id long, toxic int")
+    for out in (secrets.redact(wide), decontam.removed_spans(wide, bench), toxicity.reject_toxic(wide, lab), jaccard.keep_one(wide)):
+        assert out.columns == wide.columns
+        assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(range(len(names)))}
