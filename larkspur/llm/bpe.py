@@ -8,7 +8,7 @@ token if they don't fit, and goes back where none fits. A place that was given u
 again, so the work is linear in the length.
 
 Normalisation, splitting and special tokens follow the tokenizer's file. Words (pre-tokens) are
-encoded independently of each other; each Python worker remembers a bounded number of them.
+encoded independently of each other; each task remembers a bounded number of them.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from larkspur.llm.common import bounded_batches, load, table_of
+from larkspur.llm.common import bounded_batches, give_back, load, table_of
 
-#: Words that a worker remembers before it starts anew.
+#: Words that a task remembers before it starts anew.
 REMEMBERED = 150_000
 _BIG = 1 << 60
 
@@ -203,27 +203,16 @@ class Codec:
         return b"".join(out)[:-1]
 
 
-_codecs: dict[int, Codec] = {}
-
-
-def _codec(shared) -> Codec:
-    """One codec for each worker and vocabulary, made at first use."""
-    key = shared.id if hasattr(shared, "id") else hash(shared.value.pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(shared.value)
-    return _codecs[key]
-
-
 def _map(docs: DataFrame, path: str, column: str, schema: str, row) -> DataFrame:
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_spec(path))  # bounded by the vocabulary
 
     def run(batches):
-        codec = _codec(shared)
+        codec = Codec(shared.value)  # made anew for each task, so that an idle worker doesn't hold its words
         for batch in batches:
-            at = batch.schema.get_field_index(column)
-            yield row(codec, batch, batch.column(at))
+            yield row(codec, batch, batch.column(batch.schema.get_field_index(column)))
+        del codec
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import textnum as X
-from larkspur.llm.common import bounded_batches, filter_bit, has_bit, key_filter, load, stored, text_pieces
+from larkspur.llm.common import bounded_batches, filter_bit, has_bit, key_filter, leanly, load, stored, text_pieces
 from larkspur.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
 #: Shingles that a task handles at once, shingles of a bucket, rows of one shingle in one task.
-TASK_SHINGLES, BUCKET_SHINGLES, LIST_ROWS = 1_500_000, 1_500_000, 50_000
+TASK_SHINGLES, BUCKET_SHINGLES, LIST_ROWS = 1_000_000, 1_000_000, 50_000
 #: A shingle is frequent if one task sees it in so many classes; the table keeps the most frequent ones.
 FREQUENT, TABLE = 48, 1 << 16
 SHARDS = 16
@@ -153,7 +153,7 @@ def describe(docs: DataFrame) -> tuple[DataFrame, Frequent]:
         return pa.table({"h": u[best].view(np.int64), "c": total[best]})
 
     both = stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n long, sid long, shard long, packed binary"), "classes")
-    got = both.where("shard IS NOT NULL").select("shard", "packed").groupBy("shard").applyInArrow(add, "h long, c long").toArrow()
+    got = both.where("shard IS NOT NULL").select("shard", "packed").groupBy("shard").applyInArrow(leanly(add), "h long, c long").toArrow()
     return both.where("shard IS NULL").select("doc_id", "n", "sid"), Frequent(got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy())
 
 
@@ -261,8 +261,8 @@ def partners(docs: DataFrame, frequent: Frequent, shingles: int) -> DataFrame:
                 c.append(v)
         return pa.table({k: pa.array(c, pa.binary() if k == "tokens" else pa.int64()) for k, c in zip(("sid", "gid", "n", "q", "single", "tokens"), cols)})
 
-    sent = docs.select("text").mapInArrow(send, "bucket long, packed binary").groupBy("bucket").applyInArrow(meet, "share long, packed binary")
-    return stored(sent.groupBy("share").applyInArrow(order_sets, "sid long, gid long, n long, q long, single long, tokens binary"), "partners")
+    sent = docs.select("text").mapInArrow(send, "bucket long, packed binary").groupBy("bucket").applyInArrow(leanly(meet), "share long, packed binary")
+    return stored(sent.groupBy("share").applyInArrow(leanly(order_sets), "sid long, gid long, n long, q long, single long, tokens binary"), "partners")
 
 
 def lists(sets: DataFrame, frequent: Frequent) -> DataFrame:
@@ -315,7 +315,7 @@ def lists(sets: DataFrame, frequent: Frequent) -> DataFrame:
         return pa.table({c: rec[:, i] for i, c in enumerate(("list", "sid", "gid", "n", "pos"))})
 
     sent = sets.mapInArrow(send, "bucket long, packed binary")
-    return stored(sent.groupBy("bucket").applyInArrow(gather, "list long, sid long, gid long, n long, pos long"), "lists")
+    return stored(sent.groupBy("bucket").applyInArrow(leanly(gather), "list long, sid long, gid long, n long, pos long"), "lists")
 
 
 def roomy(a: str, b: str) -> Column:

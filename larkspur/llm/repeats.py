@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import textnum as X
-from larkspur.llm.common import bounded_batches, filter_bit, has_bit, key_filter, load, stored, text_pieces
+from larkspur.llm.common import bounded_batches, filter_bit, has_bit, key_filter, leanly, load, stored, text_pieces
 
 WINDOW = 20
 #: Windows that a task settles at once, and windows of a group.
@@ -235,8 +235,8 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return _marks(np.concatenate(d), np.concatenate(s))
 
     sent = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "group long, packed binary")
-    marked = sent.groupBy("group").applyInArrow(trees, "share long, packed binary")
-    return marked.groupBy("share").applyInArrow(gather, MARKS)
+    marked = sent.groupBy("group").applyInArrow(leanly(trees), "share long, packed binary")
+    return marked.groupBy("share").applyInArrow(leanly(gather), MARKS)
 
 
 def _clean(text: bytes, starts: bytes, window: int) -> tuple[bytes, int]:
