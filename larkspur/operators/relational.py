@@ -119,20 +119,31 @@ def window_columns(df: DataFrame, by: Sequence[str], order: Sequence[str], **col
     return df.withColumns({name: build(what) for name, what in columns.items()})
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the cluster's shared folder; under the warehouse where none is set."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+        spark.sparkContext.setCheckpointDir(shared)
+    return df.checkpoint()
+
+
 def global_running_sum(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
     """A running sum over the whole table, without one task that reads all rows.
 
     Rows are summed per distinct key (peers share a value), keys are range-partitioned, each
-    partition is summed on its own, and the few partition totals are carried over to the later ones.
+    partition is summed on its own, and the totals, one row per partition, are carried over to the
+    later ones. The partitions are checkpointed, so that both readers see the same ones.
     """
     key = [F.col(c) for c in order]
     sums = df.groupBy(*key).agg(F.sum(value).alias("_s"))
-    ranged = sums.repartitionByRange(*[c.asc_nulls_first() for c in key]).withColumn("_p", F.spark_partition_id())
+    ranged = cut_lineage(sums.repartitionByRange(*[c.asc_nulls_first() for c in key]).withColumn("_p", F.spark_partition_id()))
     local = Window.partitionBy("_p").orderBy(*[c.asc_nulls_first() for c in key])
-    ranged = ranged.withColumn("_run", F.sum("_s").over(local))
     totals = ranged.groupBy("_p").agg(F.sum("_s").alias("_t"))
-    carry = totals.alias("a").join(totals.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b._t"), F.lit(0)).alias("_c"))
-    runs = ranged.join(carry, "_p").select(*[c.alias(f"_k{i}") for i, c in enumerate(key)], (F.col("_run") + F.col("_c")).alias(name))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_c"))
+    runs = ranged.withColumn("_run", F.sum("_s").over(local)).join(F.broadcast(carry), F.col("_p") == F.col("_q"))
+    runs = runs.select(*[c.alias(f"_k{i}") for i, c in enumerate(key)], (F.col("_run") + F.col("_c")).alias(name))
     on = None
     for i, c in enumerate(order):
         one = F.col(c).eqNullSafe(F.col(f"_k{i}"))

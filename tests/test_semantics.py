@@ -110,3 +110,40 @@ def test_explain_pushes_filters(spark):
     df = R.index_scan(spark.read.parquet("/root/testdata/sf0.001/orders.parquet"), ["o_orderkey"], (5,), (9,)).select("o_custkey")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderkey,5)" in plan and "o_totalprice" not in plan.split("ReadSchema")[1]
+
+
+def test_streaming_windows_equal_batch(spark, tmp_path):
+    from larkspur.streaming.incremental import windowed_aggregate
+
+    src = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "event_type", "value")
+    src.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(src.schema).parquet(f"{tmp_path}/in")
+    agg = windowed_aggregate(stream, "ts", "1 day", "1 hour", ["event_type"], F.count(F.lit(1)).alias("n"))
+    q = agg.writeStream.outputMode("complete").format("memory").queryName("daily").option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.processAllAvailable()
+    q.stop()
+    want = src.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    assert rows(spark.table("daily")) == rows(want)
+
+
+def test_join_hints_agree(spark):
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey", "o_custkey")
+    l = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_quantity")
+    want = rows(R.hash_join(o, l, [("o_orderkey", "l_orderkey")], "left"))
+    for hint in ("merge", "broadcast", "shuffle_hash"):
+        assert rows(o.join(l.hint(hint), F.col("o_orderkey") == F.col("l_orderkey"), "left")) == want
+
+
+def test_external_sort_order(spark):
+    df = spark.createDataFrame([(3, None), (1, 2.0), (None, 1.0), (1, None)], "a int, b double")
+    assert [tuple(r) for r in R.sort(df, "a", "b").collect()] == [(None, 1.0), (1, None), (1, 2.0), (3, None)]
+    assert [tuple(r) for r in R.sort(df, "a", "b", nulls_first=False).collect()] == [(1, 2.0), (1, None), (3, None), (None, 1.0)]
+
+
+def test_index_rewrite_orders_table(front):
+    front.run("CREATE TABLE o (k INT, v INT); INSERT INTO o VALUES (3, 1), (1, 2), (2, NULL); CREATE INDEX i ON o (k)")
+    assert [r["k"] for r in front.catalog.read("o").coalesce(1).collect()] == [1, 2, 3]
+    assert front.catalog.table("o").version == 2
+    front.run("DROP INDEX i; DROP TABLE o")
+    with pytest.raises(CatalogError):
+        front.run("DELETE FROM o")
