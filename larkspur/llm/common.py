@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import shutil
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -63,8 +67,28 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each Spark application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp()  # on the driver alone, whose file server hands it out
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(z.filename)
+    _shipped.add(app)
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in this session; a smaller setting of the user's stays."""
+    """Keep Arrow batches small in this session; a smaller setting of the user's stays. Every operator that runs
+    Python on the executors begins with this, so the package is sent along here."""
+    ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(key)
         now = int(now[:-1]) if now[-1:].lower() == "b" else int(now)
