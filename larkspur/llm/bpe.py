@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from larkspur.llm.common import bounded_batches, give_back, load, table_of
 
 #: Words that a task remembers before it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 _BIG = 1 << 60
 
 

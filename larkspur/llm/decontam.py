@@ -12,7 +12,6 @@ executors. More blocks mean more passes, whose hits are merged.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from typing import NamedTuple
 
@@ -185,12 +184,13 @@ def _blocks(benchmark: DataFrame, block_words: int):
         yield block
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), block_words: int = BLOCK_WORDS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), block_words: int = BLOCK_WORDS, cut=None) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``n_words``, ``n_hit``, ``hits`` (a bit for each word, packed), the
     distinct ``items`` with windows in it, and the columns in ``keep``.
 
     A null text has no words; null items and items without an id take no part; items that share an id
     are one item; rows that repeat are judged each for themselves; without items nothing is hit.
+    ``cut`` (text, hit bits) gives the text that takes the text's place, or None for a row that goes.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -199,13 +199,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: t
     fields = [f for f in out.schema if f.name in ("doc_id", *columns)]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["`_n` long", "`_hit` long", "`_hits` binary", "`_items` array<long>"])
 
-    def one(df: DataFrame, block, first: bool) -> DataFrame:
+    def one(df: DataFrame, block, first: bool, last: bool) -> DataFrame:
         shared = spark.sparkContext.broadcast(build(block, window))  # bounded by block_words
 
         def run(batches):
             a = shared.value
             for batch in batches:
-                n, bits, count, items = [], [], [], []
+                n, bits, count, items, stays = [], [], [], [], []
+                texts = batch.column(batch.schema.get_field_index("text")).to_pylist() if cut and last else None
                 old = None if first else (batch.column("_hits").to_pylist(), batch.column("_items").to_pylist())
                 for lo, hi, buf, off in text_pieces(batch):
                     w, found = find(a, buf, off)
@@ -224,48 +225,42 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: t
                         bits.append(own.tobytes())
                         count.append(int.from_bytes(bits[-1]).bit_count())
                         items.append(sorted(held.get(d, ())))
-                cols = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(count, pa.int64()), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.int64()))], [*columns, "_n", "_hit", "_hits", "_items"])
+                        if texts is not None:
+                            new = cut(texts[lo + d], np.unpackbits(own)[: n[-1]]) if count[-1] else texts[lo + d]
+                            stays.append(not count[-1] or new is not None)
+                            texts[lo + d] = new
+                cols = [pa.array(texts, pa.string()) if texts is not None and c == "text" else batch.column(batch.schema.get_field_index(c)) for c in columns]
+                out = pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(count, pa.int64()), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.int64()))], [*columns, "_n", "_hit", "_hits", "_items"])
+                yield out.filter(pa.array(stays, pa.bool_())) if texts is not None else out
 
         return df.mapInArrow(run, schema)
 
-    first = True
-    for block in _blocks(benchmark, block_words):
-        out = one(out if first else stored(out, "decontam"), block, first)
-        first = False
-    if first:
-        out = one(out, [], True)
+    blocks, first = _blocks(benchmark, block_words), True
+    block = next(blocks, [])
+    while block is not None:
+        following = next(blocks, None)
+        out = one(out if first else stored(out, "decontam"), block, first, following is None)
+        block, first = following, False
     return out.select("doc_id", *[c for c in columns if c in keep and c != "doc_id"], F.col("_n").alias("n_words"), F.col("_hit").alias("n_hit"), F.col("_hits").alias("hits"), F.col("_items").alias("items"))
 
 
 def removed_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_words: int = WINDOW, most_share: float = 0.5, mark: str = " ") -> DataFrame:
     """``docs`` cleaned: runs of at least ``least_words`` hit words are cut out of the text, and
     documents with more than ``most_share`` of their words hit go altogether."""
-    def run(batches):
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            hits, counts = batch.column("hits").to_pylist(), batch.column("n_words").to_pylist()
-            keep, new = [], []
-            for text, raw, n in zip(texts, hits, counts):
-                bits = np.unpackbits(np.frombuffer(raw, np.uint8))[:n].astype(np.int8)
-                total = int(bits.sum())
-                keep.append(not n or total <= most_share * n)
-                if total and keep[-1]:
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], bits, [0]])))
-                    spans = [m.span() for m in WORD.finditer(text.translate(_ASCII_LOWER))]
-                    out, at = [], 0
-                    for b, e in zip(edge[::2], edge[1::2]):
-                        if e - b >= least_words:
-                            out.append(text[at : spans[b][0]])
-                            at = spans[e - 1][1]
-                    text = mark.join([*out, text[at:]]) if out else text
-                new.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), batch.column("_row")], ["text", "_row"]).filter(pa.array(keep, pa.bool_()))
-
-    found = matches(packed(docs), benchmark, window, ("text", "_row"))
-    row = found.schema["_row"].dataType.simpleString()
-    cut = found.select("text", "hits", "n_words", "_row").mapInArrow(run, f"text string, _row {row}")
-    return unpacked(cut, docs.columns)
+
+    def cut(text, bits):
+        if bits.sum() > most_share * len(bits):
+            return None
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], bits.astype(np.int8), [0]])))
+        spans = [m.span() for m in WORD.finditer(text.translate(_ASCII_LOWER))]
+        out, at = [], 0
+        for b, e in zip(edge[::2], edge[1::2]):
+            if e - b >= least_words:
+                out.append(text[at : spans[b][0]])
+                at = spans[e - 1][1]
+        return mark.join([*out, text[at:]]) if out else text
+
+    return unpacked(matches(packed(docs), benchmark, window, ("text", "_row"), cut=cut), docs.columns)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

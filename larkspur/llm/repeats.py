@@ -27,6 +27,8 @@ from larkspur.llm.common import bounded_batches, filter_bit, has_bit, key_filter
 WINDOW = 20
 #: Windows that a task settles at once, and windows of a group.
 TASK_WINDOWS, GROUP_WINDOWS = 1_500_000, 1_000_000
+#: Marks of a row that a task has settled itself.
+ROW_MARKS = 100_000
 #: Prefixes are counted in so many slots: 2**12 for one word, split in 2**4 each by the second.
 ONE, TWO = 12, 4
 NULL_ID = -(1 << 63)
@@ -186,9 +188,10 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             h, d, s, slot = (np.concatenate(x) for x in zip(*held))
             held, n = [], 0
             first, later = settle(h, d, s)
-            if later.any():
+            marked = np.flatnonzero(later)
+            for a in range(0, len(marked), ROW_MARKS):
                 turn += 1
-                yield -turn, pack(d[later], s[later])
+                yield -turn, pack(d[marked[a : a + ROW_MARKS]], s[marked[a : a + ROW_MARKS]])
             h, d, s, slot = h[first], d[first], s[first], slot[first]
             group = base[slot] + (h % parts[slot].astype(X.U)).astype(np.int64)
             order = np.argsort(group.astype(np.uint16) if len(group) and group.max() < 1 << 16 else group, kind="stable")

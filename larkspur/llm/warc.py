@@ -251,18 +251,22 @@ def read_indexed(normal: DataFrame, folder: str) -> DataFrame:
     return normal.mapInArrow(run, READ_SCHEMA)
 
 
+def _spread(manifest: DataFrame) -> DataFrame:
+    """Deal archives out to tasks: one each, or up to eight where there are many."""
+    n, lanes = manifest.count(), 4 * manifest.sparkSession.sparkContext.defaultParallelism
+    return manifest.repartition(max(1, min(n, max(lanes, n // 8))))
+
+
 def archive(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Write, normalise and read back ``pages``; archives stay in ``folder``.
 
     A null html is an empty payload, which counts as any other; a null url becomes ``urn:none``.
     """
-    spark = pages.sparkSession
     marked = mark_revisits(pages, least)
     mono = stored(write_monolithic(marked, f"{folder}/monolithic"), "manifest")
-    spread = mono.repartition(max(1, min(mono.count(), spark.sparkContext.defaultParallelism * 4)))
+    spread = _spread(mono)
     normal = stored(normalise(spread, f"{folder}/monolithic", f"{folder}/normal"), "index")
-    n = max(1, min(normal.count(), spark.sparkContext.defaultParallelism * 4))
-    return read_indexed(normal.repartition(n), f"{folder}/normal")
+    return read_indexed(_spread(normal), f"{folder}/normal")
 
 
 def op5_warc_normaliser(spark, sf_dir: str) -> DataFrame:
