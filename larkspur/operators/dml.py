@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.scalar import is_true
+from larkspur.functions.types import fits
 
 
 def insert_rows(table: DataFrame, new: DataFrame) -> DataFrame:
@@ -21,7 +22,10 @@ def update_rows(table: DataFrame, assign: dict[str, Column], where: Column | Non
     unknown = set(assign) - set(table.columns)
     if unknown:
         raise ValueError(f"no such column: {sorted(unknown)}")
-    types = dict(table.dtypes)
+    types = {f.name: f.dataType for f in table.schema}
+    for name, given in zip(assign, table.select(*[e.alias(n) for n, e in assign.items()]).schema):
+        if not fits(given.dataType, types[name]):
+            raise TypeError(f"{given.dataType.simpleString()} doesn't fit column {name} {types[name].simpleString()}")
     return table.select(*[F.when(hit, assign[c].cast(types[c])).otherwise(F.col(c)).alias(c) if c in assign else F.col(c) for c in table.columns])
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.functions.types import fits
 from larkspur.operators.dml import delete_rows, insert_rows, update_rows
 from larkspur.plans.catalog import Catalog, CatalogError
 
@@ -94,7 +95,7 @@ class Frontend:
             raise CatalogError("the number or the names of the columns don't fit")
         given = {f.name: f.dataType for f in table.schema}
         for n, f in zip(names, new.schema):
-            if f.dataType != given[n] and not isinstance(f.dataType, T.NullType) and not (isinstance(given[n], T.FloatType) and isinstance(f.dataType, (T.DecimalType, T.DoubleType))):
+            if not fits(f.dataType, given[n]):
                 raise CatalogError(f"{f.dataType.simpleString()} doesn't fit column {n} {given[n].simpleString()}")
         new = new.toDF(*names)
         full = new.select(*[(F.col(f.name) if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema])
@@ -112,7 +113,11 @@ class Frontend:
         old = self.catalog.read(m["t"])
         where = F.expr(m["w"]) if m["w"] else F.lit(True)
         n = old.filter(where).count()
-        self.catalog.replace(m["t"], update_rows(old, {p[1]: F.expr(p[2]) for p in pairs}, where))
+        try:
+            new = update_rows(old, {p[1]: F.expr(p[2]) for p in pairs}, where)
+        except (TypeError, ValueError) as e:
+            raise CatalogError(str(e)) from None
+        self.catalog.replace(m["t"], new)
         return Result(f"UPDATE {n}")
 
     def delete(self, s: str) -> Result:

@@ -147,3 +147,17 @@ def test_index_rewrite_orders_table(front):
     front.run("DROP INDEX i; DROP TABLE o")
     with pytest.raises(CatalogError):
         front.run("DELETE FROM o")
+
+
+def test_update_types_are_strict(front):
+    front.run("CREATE TABLE s (id INT, f FLOAT, ok BOOLEAN); INSERT INTO s VALUES (1, 2.5, true)")
+    for bad in ("id = 1.5", "ok = 1", "f = 1", "nope = 1", "id = 'x'"):
+        with pytest.raises(CatalogError):
+            front.run(f"UPDATE s SET {bad}")
+    front.run("UPDATE s SET id = id * 2 + 1, f = f * 2, ok = NULL")
+    assert rows(front.run("SELECT * FROM s")[0].rows) == [(3, 5.0, None)]
+
+
+def test_halloween_and_old_row(front):
+    front.run("CREATE TABLE h (a INT, b INT); INSERT INTO h VALUES (1, 2), (3, 4); UPDATE h SET a = b, b = a; UPDATE h SET a = a + 100 WHERE a < 1000")
+    assert rows(front.run("SELECT * FROM h")[0].rows) == [(102, 1), (104, 3)]
