@@ -11,7 +11,9 @@
    groups is a candidate if sizes and positions leave room for the overlap; groups are expanded to members.
 5. Candidates are verified on their repeated shingles, which hold the whole overlap. First each class
    is tested against one central member of its lists, then against another; what these tests link needs
-   no further one. At last every candidate pair whose ends aren't connected yet is verified.
+   no further one. At last the pairs of groups that leave room are listed, each once, groups that are
+   connected already left out; they are expanded to members, and every pair of members that isn't
+   connected yet is verified.
 """
 
 from __future__ import annotations
@@ -362,9 +364,20 @@ def link_classes(sets: DataFrame, members: DataFrame, rounds: int = ROUNDS) -> D
             pairs = best.select(F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b")).distinct()
         else:
             open_ = now.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(F.col("list").alias("l"))
-            left = stored(now.join(open_, F.col("list") == F.col("l")).select("list", "sid", "n", "pos", "comp"), "open")
-            on = (F.col("m.list") == F.col("h.list")) & (F.col("m.comp") != F.col("h.comp")) & (F.col("m.sid") < F.col("h.sid")) & roomy("m", "h")
-            pairs = left.alias("m").join(left.alias("h"), on).select(F.col("m.sid").alias("a"), F.col("h.sid").alias("b")).distinct()
+            left = now.join(open_, F.col("list") == F.col("l"))
+            # a group stands in a list once, whatever number of members it has; low and high tell if they are connected already
+            groups = left.groupBy("list", "gid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+            groups = stored(groups, "groups")
+            done = (F.col("m.low") == F.col("h.high")) & (F.col("m.high") == F.col("h.low"))
+            on = (F.col("m.list") == F.col("h.list")) & (F.col("m.gid") < F.col("h.gid")) & roomy("m", "h") & ~done
+            met = groups.alias("m").join(groups.alias("h"), on).select(F.col("m.gid").alias("ga"), F.col("h.gid").alias("gb"))
+            met = met.union(groups.where("low <> high").select("gid", "gid")).distinct()
+            member = sets.select("gid", "sid")
+            if comp is not None:
+                member = member.join(comp.select(F.col("id").alias("sid"), "comp"), "sid", "left")
+            member = member.select("gid", "sid", F.coalesce("comp", "sid").alias("comp") if comp is not None else F.col("sid").alias("comp"))
+            one, two = (member.select(F.col("gid").alias(f"g{x}"), F.col("sid").alias(f"s{x}"), F.col("comp").alias(f"c{x}")) for x in "ab")
+            pairs = met.join(one, "ga").join(two, "gb").where("ca <> cb").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")

@@ -472,3 +472,15 @@ def test_stages_keep_columns_with_clashing_names(spark, docs):
     for out in (secrets.redact(wide), decontam.removed_spans(wide, bench), toxicity.reject_toxic(wide, lab), jaccard.keep_one(wide)):
         assert out.columns == wide.columns
         assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(range(len(names)))}
+
+
+def test_jaccard_groups_with_several_members(spark):
+    """Sets that differ in frequent shingles only have the same prefix and size: one group, expanded to its members."""
+    r = random.Random(11)
+    phrases = [" ".join(f"p{k}_{i}" for i in range(9)) for k in range(12)]
+    rows = []
+    for i in range(160):
+        body = [f"rare{i // 8}_{j}" for j in range(r.choice([6, 7, 30, 60]))]
+        rows.append((i, " ".join([*body, *r.sample(phrases, r.randrange(1, 4))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert bag(map(tuple, jaccard.near_components(df).collect())) == bag(brute_components(rows))
