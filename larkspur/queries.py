@@ -334,3 +334,28 @@ def pricing_summary(l):
     kept = R.filter_rows(R.seq_scan(l, ["l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice"]), c("l_quantity") > 10)
     sums = R.aggregate(kept, ["l_returnflag", "l_linestatus"], F.count(lit(1)).alias("n"), F.sum("l_quantity").alias("sum_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"))
     return R.sort(sums, "l_returnflag", "l_linestatus")
+
+
+# extensions: what SQL text may say here and the classic surface leaves out
+
+def _text(name: str, tables: str, sql: str, oracle: str | None = None) -> None:
+    """A query given as SQL text, run by the front end's own path over temp views."""
+
+    def run(spark, d):
+        for t in tables.split():
+            load(spark, d, t).createOrReplaceTempView(t)
+        return spark.sql(sql)
+
+    QUERIES[name], SQL[name] = run, oracle or sql
+
+_text("ext_order_desc", "orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30 OFFSET 10")
+_text("ext_distinct", "lineitem", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+_text("ext_having", "orders", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12")
+_text("ext_three_way_join", "lineitem orders customer", "SELECT c_mktsegment, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY c_mktsegment")
+_text("ext_semi_join", "orders lineitem", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
+_text("ext_anti_join", "orders lineitem", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+_text("ext_full_join", "supplier nation", "SELECT s_suppkey, n_name FROM (SELECT * FROM supplier WHERE s_nationkey < 5) s FULL JOIN (SELECT * FROM nation WHERE n_nationkey > 2) n ON s_nationkey = n_nationkey")
+_text("ext_set_operations", "nation region", "SELECT n_regionkey AS k FROM nation EXCEPT SELECT r_regionkey FROM region WHERE r_regionkey > 2 UNION ALL SELECT 99")
+_text("ext_window_sql", "events", "SELECT event_id, user_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, LAG(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events", "SELECT event_id, user_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS n, LAG(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events")
+_text("ext_cte_subquery", "orders", "WITH big AS (SELECT o_custkey, MAX(o_totalprice) AS top FROM orders GROUP BY o_custkey) SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(top) FROM big)")
+_text("ext_grouping_sets", "lineitem", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
