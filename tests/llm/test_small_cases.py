@@ -295,6 +295,24 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("keys", [10, 100])
+def test_short_random_keys_are_found(spark, keys):
+    """Recall among 1000 ordinary long identifiers, at lengths where no base pattern helps."""
+    r = random.Random(8)
+    words = "get user account service handler request response builder factory manager connection pool timeout default value buffer internal string parser session index table column config option message queue worker thread event listener".split()
+    names = []
+    while len(names) < 1000:
+        own = [r.choice(words) for _ in range(r.randrange(3, 7))]
+        name = r.choice(["".join(w.title() for w in own), "_".join(own), "_".join(own).upper(), "/".join(own), "-".join(own) + str(r.randrange(100)), own[0] + "".join(w.title() for w in own[1:])])
+        names += [name] * (len(name) >= 20)
+    planted = ["".join(r.choice(secrets.ALPHABETS[-2][1][:62]) for _ in range(n)) for n in (20, 32, 40, 64) for _ in range(keys)]
+    rows = [(i, f"see {t} there") for i, t in enumerate(names + planted)]
+    got = {x["doc_id"] for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).where("size(random) > 0").collect()}
+    for k in range(4):
+        assert len([i for i in got if i >= 1000 and (i - 1000) // keys == k]) >= 0.9 * keys
+    assert len([i for i in got if i < 1000]) <= 0.05 * len(got)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é password=abcdef0123456789abcdef0123456789 end"), (2, "clean"), (3, None)], "doc_id long, text string")
     assert [r["text"] for r in secrets.redact(df).orderBy("doc_id").collect()] == ["é [secret] end", "clean", None]
