@@ -389,6 +389,37 @@ def link_classes(sets: DataFrame, members: DataFrame, rounds: int = ROUNDS) -> D
     return comp
 
 
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every link of the join, as pairs (a, b) of linked classes, a < b, and the membership (doc_id, n, sid) of all rows.
+
+    Rows of one class link with each other too, unless n is 0. Unlike in ``near_components`` every candidate pair of
+    groups is verified, connected or not. The pairs of a cluster of different texts grow with its square, as its links do.
+    """
+    bounded_batches(docs.sparkSession)
+    rows, frequent = describe(docs)
+    shingles = rows.groupBy("sid").agg(F.max("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sets = partners(docs, frequent, shingles)
+    groups = lists(sets, frequent).groupBy("list", "gid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.count(F.lit(1)).alias("size"))
+    groups = stored(groups, "groups")
+    on = (F.col("m.list") == F.col("h.list")) & (F.col("m.gid") < F.col("h.gid")) & roomy("m", "h")
+    met = groups.alias("m").join(groups.alias("h"), on).select(F.col("m.gid").alias("ga"), F.col("h.gid").alias("gb"))
+    met = met.union(groups.where("size > 1").select("gid", "gid")).distinct()
+    one, two = (sets.select(F.col("gid").alias(f"g{x}"), F.col("sid").alias(f"s{x}")) for x in "ab")
+    pairs = met.join(one, "ga").join(two, "gb").where("sa <> sb").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct()
+    return verify(stored(pairs, "pairs"), sets), rows
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """doc_id and n_links of every row: the number of other rows it links with."""
+    pairs, rows = links(docs)
+    size = rows.where("n > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("size"))
+    pairs = stored(pairs, "links")
+    both = pairs.union(pairs.select("b", "a"))
+    other = both.join(size, F.col("b") == F.col("sid")).groupBy("a").agg(F.sum("size").alias("other"))
+    count = size.join(other, F.col("sid") == F.col("a"), "left").select(F.col("sid").alias("_sid"), (F.col("size") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"))
+    return rows.join(count, (F.col("sid") == F.col("_sid")) & (F.col("n") > 0), "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: documents link where 100 |A and B| >= 75 |A or B|.
 

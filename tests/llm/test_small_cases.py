@@ -240,6 +240,34 @@ def test_jaccard_random_chains(spark):
     assert bag(map(tuple, jaccard.near_components(df).collect())) == bag(brute_components(rows))
 
 
+def test_jaccard_links(spark):
+    """All pairs, also those inside a component that the spanning tests leave out, and rows that repeat."""
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base, "x"])), (2, " ".join([*base, "y"])), (3, " ".join([*base, "z"])), (4, " ".join(base)), (5, None), (6, "")]
+    for i in range(7, 40):
+        at = r.randrange(60)
+        base = [*base[:at], f"v{i}", *base[at + 1 :]]
+        rows.append((i, " ".join(base)))
+
+    def shingles(t):
+        w = SPACE.findall((t or "").translate(LOWER))
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    sets = {i: shingles(t) for i, t in rows}
+    want = {(i, j) for i in sets for j in sets if i != j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pairs, members = jaccard.links(df)
+    held = collections.defaultdict(list)
+    for m in members.where("n > 0").collect():
+        held[m["sid"]].append(m["doc_id"])
+    got = {(i, j) for ids in held.values() for i in ids for j in ids if i != j}
+    for p in pairs.collect():
+        got |= {(i, j) for x, y in ((p["a"], p["b"]), (p["b"], p["a"])) for i in held[x] for j in held[y]}
+    assert {(1, 2), (2, 3)} <= got == want
+    assert {x["doc_id"]: x["n_links"] for x in jaccard.link_counts(df).collect()} == {i: sum(a == i for a, _ in want) for i, _ in rows}
+
+
 def test_jaccard_empty_and_keep_one(docs, empty):
     assert jaccard.near_components(empty).count() == 0
     kept = jaccard.keep_one(docs)
