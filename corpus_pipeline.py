@@ -31,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without benchmark passages of 8 words and more; documents with over half their words in such go."""
+    """Texts without benchmark passages of 8 words and more, or whole shorter items; documents with over half their words in such go."""
     return _measured(decontam.removed_spans(docs, common.load(spark, sf_dir, "benchmark")))
 
 

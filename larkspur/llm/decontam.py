@@ -245,8 +245,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: t
 
 
 def removed_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_words: int = WINDOW, most_share: float = 0.5, mark: str = " ") -> DataFrame:
-    """``docs`` cleaned: runs of at least ``least_words`` hit words are cut out of the text, and
-    documents with more than ``most_share`` of their words hit go altogether."""
+    """``docs`` cleaned: runs of at least ``least_words`` hit words are cut out of the text, and so are
+    runs shorter than ``window``, which only whole short items can hit; documents with more than
+    ``most_share`` of their words hit go altogether."""
 
     def cut(text, bits):
         if bits.sum() > most_share * len(bits):
@@ -255,7 +256,7 @@ def removed_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
         spans = [m.span() for m in WORD.finditer(text.translate(_ASCII_LOWER))]
         out, at = [], 0
         for b, e in zip(edge[::2], edge[1::2]):
-            if e - b >= least_words:
+            if e - b >= least_words or e - b < window:
                 out.append(text[at : spans[b][0]])
                 at = spans[e - 1][1]
         return mark.join([*out, text[at:]]) if out else text

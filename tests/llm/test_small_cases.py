@@ -168,6 +168,15 @@ def test_spans_are_cut(spark):
     assert got == {1: "before it  . After it, " + " ".join(f"x{i}" for i in range(20)), 3: "clean Text", 4: None}
 
 
+def test_short_items_are_cut(spark):
+    """An item of fewer words than a window is cut where it stands whole, and only there."""
+    rest = " ".join(f"x{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"start Alpha beta, gamma. {rest}"), (2, f"start alpha beta {rest}"), (3, f"w1 w2 w3 w4 w5 w6 w7 {rest}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "w1 w2 w3 w4 w5 w6 w7"), (3, " ".join(f"v{i}" for i in range(9)))], "item_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in decontam.removed_spans(docs, bench).collect()}
+    assert got == {1: f"start  . {rest}", 2: f"start alpha beta {rest}", 3: f"  {rest}"}
+
+
 # --- 3
 
 def test_hilbert_is_a_curve():
