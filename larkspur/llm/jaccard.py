@@ -14,6 +14,8 @@
    no further one. At last the pairs of groups that leave room are listed, each once, groups that are
    connected already left out; they are expanded to members, and every pair of members that isn't
    connected yet is verified.
+6. Links are counted inside the components, which hold them all: classes are dealt to blocks by size, blocks
+   of sizes that can link meet, and a task counts the links of two blocks without a row for each.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ FREQUENT, TABLE = 48, 1 << 16
 SHARDS = 16
 #: Rounds of tests against one member, before all pairs that are left.
 ROUNDS = 3
+#: Rows of a list, or lists of a class, that join as one key; more are several keys.
+CELL = 256
+#: Classes and shingles of a block in which links are counted.
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 500_000
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE):
@@ -44,14 +50,14 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE):
     buf = X.LOWER[buf]
     w = X.find_words(buf, off, X.NOT_SPACE)
     h = X.hash_words(buf, w)
-    grams, runs = X.hash_ngrams(h, k), X.hash_runs(h, w.first)
+    grams = X.hash_ngrams(h, k)
     for i in range(len(off) - 1):
         a, b = int(w.first[i]), int(w.first[i + 1])
         if b - a >= k:
             s = np.sort(grams[a : b - k + 1])
             yield s[np.concatenate([[True], s[1:] != s[:-1]])]
         else:
-            yield runs[i : i + 1] if b > a else runs[:0]
+            yield X.hash_ngrams(h[a:b], b - a) if b > a else h[:0]
 
 
 def class_id(s: np.ndarray) -> int:
@@ -268,16 +274,17 @@ def partners(docs: DataFrame, frequent: Frequent, shingles: int) -> DataFrame:
 
 
 def lists(sets: DataFrame, frequent: Frequent) -> DataFrame:
-    """(list, sid, gid, n, pos): members of each prefix shingle that has several; lists of equal members once.
+    """(list, part, sid, salt, gid, n, pos): members of each prefix shingle that has several; lists of equal members once.
 
-    The rows of a very frequent shingle are dealt over several tasks and keep its name.
+    The rows of a very frequent shingle are dealt over several tasks and keep its name. ``part`` cuts a
+    long list into runs of ``CELL`` rows, ``salt`` the lists of a class; joins take them as part of the key.
     """
     spark = sets.sparkSession
     total = sets.agg(F.coalesce(F.sum("q"), F.lit(0))).first()[0]
     lanes = spark.sparkContext.defaultParallelism
     buckets = int(max(1, -(-total // min(max(total // (2 * lanes), 50_000), BUCKET_SHINGLES // 2))))
     shared = spark.sparkContext.broadcast(frequent)
-    width = 40
+    names = ["list", "sid", "gid", "n", "pos", "salt", "part"]
 
     def send(batches):
         common = shared.value
@@ -293,12 +300,14 @@ def lists(sets: DataFrame, frequent: Frequent) -> DataFrame:
             bucket = ((h >> X.U(32)) * X.U(buckets) >> X.U(32)).astype(np.int64)
             bucket = np.where(parts > 1, -1 - (X.mix(h + (sid[own] % parts).astype(X.U)) >> X.U(1)).astype(np.int64), bucket)
             order = np.argsort(bucket, kind="stable")
-            rec = np.column_stack([h.view(np.int64), sid[own], gid[own], n[own], pos])[order]
+            salt = (X.mix(h) % (-(-q // CELL)).astype(X.U)[own]).astype(np.int64)
+            deal = (sid[own] % parts) << 32  # apart for each task that a frequent shingle's rows go to
+            rec = np.column_stack([h.view(np.int64), sid[own], gid[own], n[own], pos, salt, deal])[order]
             for b, x, y in _cut(bucket[order]):
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([rec[x:y].tobytes()])], ["bucket", "packed"])
 
     def gather(key, table):
-        rec = np.concatenate([np.frombuffer(raw.as_buffer(), np.int64).reshape(-1, width // 8) for raw in table.column("packed")])
+        rec = np.concatenate([np.frombuffer(raw.as_buffer(), np.int64).reshape(-1, len(names)) for raw in table.column("packed")])
         h = rec[:, 0]
         rec = rec[np.lexsort((rec[:, 1], h))]
         keep, seen = [], {}
@@ -313,11 +322,13 @@ def lists(sets: DataFrame, frequent: Frequent) -> DataFrame:
                     keep.append(rec[a:b])
                 elif rec[a, 4] < keep[at][0, 4]:  # all members agree on which shingle comes first
                     keep[at] = rec[a:b]
+        for own in keep:
+            own[:, 6] += np.arange(len(own)) // CELL
         rec = np.concatenate(keep) if keep else rec[:0]
-        return pa.table({c: rec[:, i] for i, c in enumerate(("list", "sid", "gid", "n", "pos"))})
+        return pa.table({c: rec[:, i] for i, c in enumerate(names)})
 
     sent = sets.mapInArrow(send, "bucket long, packed binary")
-    return stored(sent.groupBy("bucket").applyInArrow(leanly(gather), "list long, sid long, gid long, n long, pos long"), "lists")
+    return stored(sent.groupBy("bucket").applyInArrow(leanly(gather), "list long, sid long, gid long, n long, pos long, salt long, part long"), "lists")
 
 
 def roomy(a: str, b: str) -> Column:
@@ -346,25 +357,30 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def link_classes(sets: DataFrame, members: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(id, comp) of the classes that have a partner."""
-    degree = members.groupBy("sid").agg(F.count(F.lit(1)).alias("degree"))
-    base = stored(members.join(degree, "sid"), "members")
+    cells = members.groupBy("sid", "salt").agg(F.count(F.lit(1)).alias("k"))
+    degree = cells.groupBy("sid").agg(F.sum("k").alias("degree"), F.collect_list("salt").alias("salts"))
+    cells = stored(degree.select("sid", "degree", F.explode("salts").alias("salt")), "cells")
+    base = stored(members.join(cells, ["sid", "salt"]), "members")
     links = tried = comp = None
     for r in range(rounds + 1):
-        now = base
+        now = base.withColumn("comp", F.col("sid"))
         if comp is not None:
-            now = base.join(comp.select(F.col("id").alias("sid"), "comp"), "sid", "left")
-        now = now.withColumn("comp", F.coalesce("comp", "sid") if comp is not None else F.col("sid"))
+            known = cells.join(comp, F.col("sid") == F.col("id")).select("sid", "salt", F.col("comp").alias("known"))
+            now = now.join(known, ["sid", "salt"], "left").withColumn("comp", F.coalesce("known", "sid")).drop("known")
         if r < rounds:
-            rank = F.struct(F.col("degree") if r == 0 else F.lit(0), F.xxhash64("sid", F.lit(r)))
+            rank = F.when(F.lit(r == 0), F.col("degree") * (1 << 32)).otherwise(F.lit(0)) + F.xxhash64("sid", F.lit(r)).bitwiseAND(F.lit((1 << 32) - 1))
             hub = F.max(F.struct(rank.alias("rank"), "sid", "comp", "n", "pos")).alias("hub")
-            open_ = now.groupBy("list").agg(hub, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-            open_ = open_.select(F.col("list").alias("l"), "hub.*", F.col("hub.rank").alias("r"))
-            met = now.alias("m").join(open_.alias("h"), F.col("m.list") == F.col("h.l")).where((F.col("m.comp") != F.col("h.comp")) & roomy("m", "h"))
+            runs = now.groupBy("list", "part").agg(hub, F.min("comp").alias("low"), F.max("comp").alias("high"))
+            open_ = runs.groupBy("list").agg(F.max("hub").alias("hub"), F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("part").alias("parts")).where("low <> high")
+            open_ = open_.select(F.col("list").alias("l"), F.explode("parts").alias("p"), "hub.*", F.col("hub.rank").alias("r"))
+            met = now.alias("m").join(open_.alias("h"), (F.col("m.list") == F.col("h.l")) & (F.col("m.part") == F.col("h.p"))).where((F.col("m.comp") != F.col("h.comp")) & roomy("m", "h"))
             best = met.groupBy(F.col("m.sid").alias("x")).agg(F.max(F.struct(F.col("h.r").alias("r"), F.col("h.sid").alias("y"))).alias("best"))
             pairs = best.select(F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b")).distinct()
         else:
-            open_ = now.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(F.col("list").alias("l"))
-            left = now.join(open_, F.col("list") == F.col("l"))
+            runs = now.groupBy("list", "part").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+            open_ = runs.groupBy("list").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("part").alias("parts")).where("low <> high")
+            open_ = open_.select(F.col("list").alias("l"), F.explode("parts").alias("p"))
+            left = now.join(open_, (F.col("list") == F.col("l")) & (F.col("part") == F.col("p")))
             # a group stands in a list once, whatever number of members it has; low and high tell if they are connected already
             groups = left.groupBy("list", "gid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.min("comp").alias("low"), F.max("comp").alias("high"))
             groups = stored(groups, "groups")
@@ -409,23 +425,65 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return verify(stored(pairs, "pairs"), sets), rows
 
 
-def link_counts(docs: DataFrame) -> DataFrame:
-    """doc_id and n_links of every row: the number of other rows it links with."""
-    pairs, rows = links(docs)
-    size = rows.where("n > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("size"))
-    pairs = stored(pairs, "links")
-    both = pairs.union(pairs.select("b", "a"))
-    other = both.join(size, F.col("b") == F.col("sid")).groupBy("a").agg(F.sum("size").alias("other"))
-    count = size.join(other, F.col("sid") == F.col("a"), "left").select(F.col("sid").alias("_sid"), (F.col("size") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"))
-    return rows.join(count, (F.col("sid") == F.col("_sid")) & (F.col("n") > 0), "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
+def count_links(rows: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFrame:
+    """(sid, n_links): to how many other rows the rows of a class link. Every link lies inside a component.
 
-def near_components(docs: DataFrame) -> DataFrame:
+    Sizes fall into bands so wide that linked sets lie in one or in neighbouring bands. A band of a component is
+    dealt to blocks of bounded classes and shingles, and each pair of blocks that can hold links is
+    one group: its task counts them by the shingles the classes share, one class against a block at a time.
+    Copies count by the size of their class.
+    """
+    size = rows.where("n > 0").groupBy("sid").agg(F.count(F.lit(1)).alias("size"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)) + F.lit(1e-9)).cast("int")
+    held = sets.join(comp, F.col("sid") == F.col("id")).select("sid", "n", "tokens", "comp", band.alias("band"))
+    held = stored(held.join(size, "sid"), "linked")
+    bulk = held.groupBy("comp", "band").agg(F.count(F.lit(1)).alias("k"), F.sum(F.octet_length("tokens") / 8).alias("t"))
+    parts = F.ceil(F.greatest(F.col("k") / BLOCK_CLASSES, F.col("t") / BLOCK_SHINGLES)).cast("int")
+    bulk = stored(bulk.select("comp", "band", parts.alias("parts")), "bands")
+    near = bulk.alias("x").join(bulk.alias("y"), (F.col("x.comp") == F.col("y.comp")) & (F.abs(F.col("x.band") - F.col("y.band")) <= 1))
+    near = near.select(F.col("x.comp").alias("_c"), F.col("x.band").alias("_b"), F.col("x.parts").alias("own"), F.col("y.band").alias("other"), F.col("y.parts").alias("parts"))
+    sent = held.join(near, (F.col("comp") == F.col("_c")) & (F.col("band") == F.col("_b")))
+    h = F.pmod(F.xxhash64("sid"), F.col("own")).cast("int")
+    sent = sent.select("sid", "n", "tokens", "size", "comp", "band", h.alias("h"), "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("g"))
+    me, you = F.struct("band", "h"), F.struct(F.col("other").alias("band"), F.col("g").alias("h"))
+    sent = sent.select("sid", "n", "tokens", "size", "comp", F.least(me, you).alias("low"), F.greatest(me, you).alias("high"), (me == F.least(me, you)).alias("first"))
+
+    def count(key, table):
+        first = table.column("first").to_numpy()
+        sid, n, size = (table.column(c).to_numpy() for c in ("sid", "n", "size"))
+        raw = [np.frombuffer(t.as_buffer(), np.uint64) for t in table.column("tokens")]
+        kinds, code = np.unique(np.concatenate(raw), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+        alone = bool(first.all())  # a block with itself
+        a, b = np.flatnonzero(first), np.flatnonzero(first if alone else ~first)
+        total = np.zeros(len(sid), np.int64)
+        if len(a) and len(b):
+            there = np.concatenate([code[begin[j] : begin[j + 1]] for j in b])
+            starts = np.concatenate([[0], np.cumsum(begin[b + 1] - begin[b])[:-1]])
+            mark = np.zeros(len(kinds), np.int32)
+            for i in a.tolist():
+                own = code[begin[i] : begin[i + 1]]
+                mark[own] = 1
+                inter = np.add.reduceat(mark[there], starts)
+                mark[own] = 0
+                fine = (100 * inter >= PERCENT * (n[i] + n[b] - inter)) & (sid[b] != sid[i])
+                total[i] += size[b[fine]].sum()
+                if not alone:
+                    total[b[fine]] += size[i]
+        return pa.table({"sid": sid, "k": total})
+
+    other = sent.groupBy("comp", "low", "high").applyInArrow(leanly(count), "sid long, k long").groupBy("sid").agg(F.sum("k").alias("k"))
+    return size.join(other.select(F.col("sid").alias("_s"), "k"), F.col("sid") == F.col("_s"), "left").select("sid", (F.col("size") - 1 + F.coalesce("k", F.lit(0))).alias("n_links"))
+
+
+def near_components(docs: DataFrame, links: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: documents link where 100 |A and B| >= 75 |A or B|.
 
     component_id is the smallest doc_id that links reach. Texts without words have an empty set and
     are alone, also with their equals. A null doc_id is no candidate for the smallest, and a component of
-    nothing else has null. Rows that repeat link with each other and are all returned.
+    nothing else has null. Rows that repeat link with each other and are all returned. With ``links`` there is
+    ``n_links`` as well, the number of other rows that a row links with. A text is read whole, whatever its
+    length; one of many megabytes is a batch of its own, and takes some 30 bytes of memory for each byte.
     """
     bounded_batches(docs.sparkSession)
     rows, frequent = describe(docs)
@@ -436,8 +494,11 @@ def near_components(docs: DataFrame) -> DataFrame:
     joined = classes.join(comp, F.col("sid") == F.col("id"), "left").select("sid", "low", F.coalesce("comp", "sid").alias("comp"))
     lowest = joined.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = joined.join(lowest, "comp").select(F.col("sid").alias("_sid"), "component_id")
+    if links:
+        named = named.join(count_links(rows, sets, comp), F.col("_sid") == F.col("sid")).drop("sid")
     out = rows.join(named, (F.col("sid") == F.col("_sid")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    more = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *more)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -467,7 +528,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return near_components(load(spark, sf_dir, "documents"))
+    return near_components(load(spark, sf_dir, "documents"), links=True)
 
 
 def sql() -> str:
@@ -477,5 +538,6 @@ def sql() -> str:
         n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
         pair AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
         link AS MATERIALIZED (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= {PERCENT} * (x.n + y.n - i)),
-        reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
-        SELECT a AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a"""
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+        deg AS (SELECT a AS doc_id, count(*) AS n_links FROM link GROUP BY a)
+        SELECT a AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(b) AS component_id, coalesce(max(n_links), 0) AS n_links FROM reach LEFT JOIN n ON n.doc_id = a LEFT JOIN deg ON deg.doc_id = a GROUP BY a"""

@@ -42,16 +42,11 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     w = X.find_words(buf, off, X.WORDLIKE)
     if not len(w.start):
         return w.doc, np.zeros(0, X.U)
-    n = len(buf)
-    total = np.zeros(n + 1, X.U)
-    np.cumsum(X.TABLE[buf] * X.powers(X.BYTE, n), out=total[1:])
-    back = X.powers(X.BYTE, n, True)[w.start]
-    docs, hashes = [w.doc], [X.mix((total[w.end] - total[w.start]) * back)]
+    docs, hashes = [w.doc], [X.hash_words(buf, w)]
     for k in PREFIXES:
-        long = w.end - w.start >= k
-        at = w.start[long]
+        long, h = X.hash_beginnings(buf, w, k)
         docs.append(w.doc[long])
-        hashes.append(X.mix((total[at + k] - total[at]) * back[long] + X.U(k)))
+        hashes.append(h)
     return np.concatenate(docs), np.concatenate(hashes)
 
 

@@ -12,13 +12,21 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, common, decontam, jaccard, lm, repeats, secrets, sharding, topk, toxicity, warc
+from larkspur.llm import bpe, common, decontam, graph, jaccard, lm, repeats, secrets, sharding, topk, toxicity, warc
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, rank int, size long, shard int, n int, sid long"
 
 
+def mirror_words(n):
+    """A Thue-Morse word of 2**n letters and its complement, which collide under polynomial hashes modulo 2**64."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
 def corpus(seed=0, n=60):
     """Rows that hold every awkward case at once."""
     r = random.Random(seed)
@@ -38,6 +46,9 @@ def corpus(seed=0, n=60):
             copy[r.randrange(len(copy))] = f"new{r.randrange(99)}"
         texts.append(" ".join(copy))
     texts += [texts[9], texts[9], "tail " + " ".join(passage * 20), "\x00\x1f odd   bytes   here"]
+    for k in (10, 12):
+        one, two = mirror_words(k)
+        texts += [one, two, " ".join(f"{one} {w}" for w in "abcdefghijkl"), " ".join(f"{two} {w}" for w in "abcdefghijkl")]
     rows = [(i, t) for i, t in enumerate(texts)]
     rows += [(None, texts[10]), (None, None), rows[12], rows[12], rows[9]]
     return rows
@@ -136,7 +147,7 @@ def brute_windows(rows, items, window=8):
 def test_decontamination(spark, docs, block):
     rows = rows_of(docs)
     words = decontam.normalise(rows[20][1]) + decontam.normalise(rows[25][1])
-    items = [(1, " ".join(words[:12]).upper()), (2, " ".join(words[4:30])), (3, "one"), (4, "one two three"), (5, None), (None, "one"), (6, ""), (7, " ".join(words[:12])), (1, "zeta eta theta"), (8, "the the the the the the the the the the"), (9, "two three four five")]
+    items = [(1, " ".join(words[:12]).upper()), (2, " ".join(words[4:30])), (3, "one"), (4, "one two three"), (5, None), (None, "one"), (6, ""), (7, " ".join(words[:12])), (1, "zeta eta theta"), (8, "the the the the the the the the the the"), (9, "two three four five"), (10, mirror_words(10)[0])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.matches(docs, bench, keep=("n",), block_words=block)
     assert bag((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got.collect()) == bag(brute_windows(rows, items))
@@ -249,7 +260,7 @@ def test_jaccard_random_chains(spark):
     assert bag(map(tuple, jaccard.near_components(df).collect())) == bag(brute_components(rows))
 
 
-def test_jaccard_links(spark):
+def test_jaccard_links(spark, monkeypatch):
     """All pairs, also those inside a component that the spanning tests leave out, and rows that repeat."""
     r = random.Random(4)
     base = [f"w{i}" for i in range(60)]
@@ -274,7 +285,48 @@ def test_jaccard_links(spark):
     for p in pairs.collect():
         got |= {(i, j) for x, y in ((p["a"], p["b"]), (p["b"], p["a"])) for i in held[x] for j in held[y]}
     assert {(1, 2), (2, 3)} <= got == want
-    assert {x["doc_id"]: x["n_links"] for x in jaccard.link_counts(df).collect()} == {i: sum(a == i for a, _ in want) for i, _ in rows}
+    for shingles_ in (500_000, 200):  # one block for all, and many
+        monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", shingles_)
+        counts = jaccard.near_components(df, links=True)
+        assert {x["doc_id"]: x["n_links"] for x in counts.collect()} == {i: sum(a == i for a, _ in want) for i, _ in rows}
+
+
+def test_components_of_long_paths(spark):
+    """Rounds are logarithmic in any order of the ids."""
+    r, n = random.Random(0), 2000
+    for order in (list(range(n)), [0, *range(n - 1, 0, -1)], r.sample(range(n), n)):
+        links = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+        assert len(graph.contract(links)) <= 2 * math.log2(n)
+        assert {(x["id"], x["comp"]) for x in graph.components(links).collect()} == {(i, 0) for i in range(n)}
+
+
+def test_components_of_random_graphs(spark):
+    r = random.Random(1)
+    pairs = [(r.randrange(3000), r.randrange(3000)) for _ in range(2200)] + [(5000, x) for x in range(5001, 5500)] + [(7, 7), (9000, 9000)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {x["id"]: x["comp"] for x in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in pairs if a != b for x in (a, b)}
+
+
+def test_jaccard_slow_drift(spark):
+    """A thousand documents, each a few words further on than the one before: one component, found whatever the order."""
+    r = random.Random(2)
+    ids = r.sample(range(1000), 1000)
+    rows = [(i, " ".join(f"w{j}" for j in range(3 * k, 3 * k + 60))) for k, i in enumerate(ids)]
+    got = jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), links=True).collect()
+    assert {x["component_id"] for x in got} == {0}
+    by = {x["doc_id"]: x["n_links"] for x in got}
+    assert [by[i] for i in ids] == [sum(0 < abs(k - j) <= 2 for j in range(1000)) for k in range(1000)]
 
 
 def test_jaccard_empty_and_keep_one(docs, empty):
