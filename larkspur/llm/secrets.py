@@ -1,7 +1,8 @@
 """Secret scan: known patterns, and a battery of randomness tests. DataFrame functions only.
 
 Patterns (the base) mark assignments, access keys and long hexadecimal runs. The battery looks at
-every other run of key-like characters. It infers the encoding (the smallest alphabet that holds
+every other run of at least ``LEAST_RUN`` key-like characters; shorter ones are never tested, as a random
+string of so few characters can't be told from an identifier at the false-discovery rate below. It infers the encoding (the smallest alphabet that holds
 the run), codes the characters, and takes three statistics:
 
 - chi-squared against a uniform alphabet,
@@ -38,7 +39,10 @@ PATTERNS = {
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: The same matches as the pattern's that are long enough, without the short ones between.
 HEX_RUN = r"[0-9a-f]{24,}"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST_RUN = 20
+RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}"
+#: A run that is padding but for so few characters isn't tested either.
+LEAST_BODY = 16
 FDR = 0.05
 #: Departures that count as non-random: chi-squared per character, share of runs, correlation.
 EFFECT_CHI, EFFECT_RUNS, EFFECT_SERIAL = 1.2, 0.5, 0.75
@@ -137,6 +141,34 @@ def hits(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+#: Elements of an array that are scanned in one step, and characters of a text that are cut at once.
+SCAN, CUT = 64, 1024
+
+
+def once(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def before(numbers: Column, op) -> Column:
+    """For each number what ``op`` makes of 0 and all numbers before it. An array can only grow by being copied, so
+    the scan goes by blocks, and only one number for each block is carried: a million numbers take no longer
+    a number than a thousand."""
+
+    def scan(x: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(x, start, lambda acc, v: F.struct(op(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    def cut(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / SCAN).cast("int")), lambda i: F.slice(x, i * SCAN + 1, SCAN))
+
+    def joined(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), op))
+        return F.flatten(F.zip_with(scan(sums), blocks, lambda at, b: F.transform(scan(b), lambda v: op(v, at))))
+
+    return once(numbers, lambda x: F.when(F.size(x) <= SCAN, scan(x)).otherwise(once(cut(x), joined)))
+
+
 def places(text: Column, whole: Column, pattern: str, least: int, group: int = 0) -> Column:
     """Array of (start, end, hit, n) for the matches ``whole`` of ``pattern``, short ones dropped after.
 
@@ -144,48 +176,79 @@ def places(text: Column, whole: Column, pattern: str, least: int, group: int = 0
     of their lengths, in code points. Most texts have no match and take the first branch.
     """
     value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(whole))
-    pairs = F.arrays_zip(gaps.alias("gap"), whole.alias("hit"), value.alias("value"))
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(whole)), F.length)
     none = F.array().cast("array<struct<start:int,end:int,hit:string,n:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        s = acc["at"] + F.length(p["gap"])
-        e = s + F.length(p["hit"])
-        n = F.length(p["value"])
-        one = F.struct(s.alias("start"), e.alias("end"), p["hit"].alias("hit"), n.alias("n"))
-        return F.struct(e.alias("at"), F.when(n >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+    def one(p: Column) -> Column:
+        start = p["at"] + p["gap"]
+        return F.struct(start.alias("start"), (start + F.length(p["hit"])).alias("end"), p["hit"].alias("hit"), F.length(p["value"]).alias("n"))
+
+    def of(gaps: Column) -> Column:
+        at = before(F.zip_with(gaps, whole, lambda g, w: g + F.length(w)), lambda a, b: a + b)
+        pairs = F.arrays_zip(at.alias("at"), gaps.alias("gap"), whole.alias("hit"), value.alias("value"))
+        return F.filter(F.transform(pairs, one), lambda m: m["n"] >= least)
+
+    return F.when(F.size(whole) == 0, none).otherwise(once(gaps, of))
+
 
-    return F.when(F.size(whole) == 0, none).otherwise(F.aggregate(pairs, start, step)["out"])
+def overlaps(run: Column, spans: Column) -> Column:
+    """Whether a run meets one of ``spans``, which are in order and apart: the last one that starts before the run's
+    end is found by halving, and ends behind the run's start if any does."""
+    bits = F.array(*[F.lit(1 << k) for k in range(27, -1, -1)])
+
+    def step(at: Column, bit: Column) -> Column:
+        there = (at + bit <= F.size(spans)) & (F.get(spans, at + bit - 1)["start"] < run["end"])
+        return F.when(there, at + bit).otherwise(at)
+
+    last = F.aggregate(bits, F.lit(0), step)
+    return F.when(F.size(spans) == 0, False).otherwise(F.coalesce(F.get(spans, last - 1)["end"] > run["start"], F.lit(False)))
+
+
+def cut_out(text: Column, spans: Column, mark: str) -> Column:
+    """The text with a mark in the place of each span, overlapping ones as one. It is taken apart into pieces of
+    ``CUT`` characters first, since reaching a place in a long text means reading all before it."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+
+    def between(pieces: Column, a: Column, b: Column) -> Column:
+        i, j = (F.floor(x / CUT).cast("int") for x in (a, b))
+        piece = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+        head = F.substring(piece(i), F.pmod(a, F.lit(CUT)) + 1, F.least(b - a, F.lit(CUT)))
+        rest = F.concat(F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(piece(j), F.lit(1), F.pmod(b, F.lit(CUT))))
+        return F.when(i == j, head).otherwise(F.concat(head, rest))
+
+    def cut(v: Column) -> Column:
+        ends = F.transform(spans, lambda s: s["end"])
+        pairs = F.arrays_zip(before(ends, lambda a, b: F.greatest(a, b)).alias("at"), F.transform(spans, lambda s: s["start"]).alias("start"))
+        parts = F.transform(pairs, lambda p: F.when(p["start"] >= p["at"], F.concat(between(v, p["at"], p["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), between(v, F.array_max(ends), F.length(text)))
+
+    return once(pieces, cut)
 
 
 def _upper_tail(z: Column) -> Column:
     """P(N(0,1) > z), by the rational approximation of Abramowitz and Stegun 26.2.17 (fixed values)."""
-    a = F.abs(z)
-    t = 1 / (1 + 0.2316419 * a)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-a * a / 2) * 0.3989422804014327 * poly
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+    def tail(z: Column) -> Column:
+        poly = once(1 / (1 + 0.2316419 * F.abs(z)), lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))))
+        return once(F.exp(-z * z / 2) * 0.3989422804014327 * poly, lambda p: F.when(z >= 0, p).otherwise(1 - p))
+
+    return once(z, tail)
 
 
 def battery(run: Column) -> Column:
     """(encoding, p-value) of one run of characters. Padding at the end isn't part of the data."""
-    body = F.regexp_replace(run, "=+$", "")
-    name, alphabet = F.lit("mixed"), F.lit(ALPHABETS[-2][1] + "-_=")
-    for label, chars in reversed(ALPHABETS):
-        inside = F.translate(body, chars, "") == ""
-        name, alphabet = F.when(inside, F.lit(label)).otherwise(name), F.when(inside, F.lit(chars)).otherwise(alphabet)
+    def inferred(body: Column) -> Column:
+        kind = F.struct(body.alias("body"), F.lit("mixed").alias("name"), F.lit(ALPHABETS[-2][1] + "-_=").alias("alphabet"))
+        for label, chars in reversed(ALPHABETS):
+            kind = F.when(F.translate(body, chars, "") == "", F.struct(body.alias("body"), F.lit(label).alias("name"), F.lit(chars).alias("alphabet"))).otherwise(kind)
+        return kind
 
     def statistics(v: Column) -> Column:
         n, k = F.length(v["body"]).cast("double"), F.length(v["alphabet"]).cast("double")
         chars = F.split(v["body"], "")
         codes = F.transform(chars, lambda ch: (F.call_function("instr", v["alphabet"], ch) - 1).cast("double"))
         keys = F.transform(chars, lambda ch: F.call_function("instr", F.lit(KEYS), ch))
-        return F.struct(keys.alias("keys"), v["name"].alias("name"), n.alias("n"), k.alias("k"), codes.alias("codes"), F.size(F.array_distinct(codes)).cast("double").alias("kinds"))
-
-    def counted(v: Column) -> Column:
-        times = F.transform(F.sequence(F.lit(1), F.lit(len(KEYS))), lambda k: F.size(F.filter(v["keys"], lambda x: x == k)).cast("double"))
-        return v.withField("times", times)
+        times = F.array(*[n - F.length(F.replace(v["body"], F.lit(c), F.lit(""))) for c in KEYS])
+        return F.struct(keys.alias("keys"), v["name"].alias("name"), n.alias("n"), k.alias("k"), codes.alias("codes"), times.alias("times"))
 
     def likelihood(v: Column) -> Column:
         n, keys, cost = v["n"], v["keys"], F.split(F.lit(" ".join(TRANSITIONS.split())), " ")
@@ -203,7 +266,7 @@ def battery(run: Column) -> Column:
 
     def test(v: Column) -> Column:
         n, k, codes = v["n"], v["k"], v["codes"]
-        squares = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda acc, c: acc + F.pow(F.size(F.filter(codes, lambda x: x == c)).cast("double"), F.lit(2.0)))
+        squares = F.aggregate(v["times"], F.lit(0.0), lambda acc, t: acc + t * t)
         chi = squares * k / n - n
         away = n * EFFECT_CHI
         p_chi = _upper_tail((k - 1 + away - chi) / F.sqrt(2 * (k - 1 + 2 * away)))
@@ -212,15 +275,18 @@ def battery(run: Column) -> Column:
         share = F.aggregate(sides, F.lit(0.0), lambda acc, x: acc + x) / (n - 1)
         p_runs = _upper_tail((EFFECT_RUNS - F.abs(share - 0.5)) * 2 * F.sqrt(n - 1))
         mean = F.aggregate(codes, F.lit(0.0), lambda acc, x: acc + x) / n
-        var = F.aggregate(codes, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-        cov = F.aggregate(F.zip_with(head, tail, lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda acc, x: acc + x)
-        r = F.when(var > 0, cov / F.when(var > 0, var)).otherwise(1.0)
+
+        def correlation(mean: Column) -> Column:
+            var = F.aggregate(codes, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
+            cov = F.aggregate(F.zip_with(head, tail, lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda acc, x: acc + x)
+            return once(var, lambda var: F.when(var > 0, cov / F.when(var > 0, var)).otherwise(1.0))
+
+        r = once(mean, correlation)
         p_serial = _upper_tail((EFFECT_SERIAL - F.abs(r)) * F.sqrt(n - 1))
         p = F.greatest(F.least(F.lit(1.0), 2 * F.least(F.greatest(p_chi, p_runs, p_serial), likelihood(v))), F.lit(1e-12))
-        return F.struct(v["name"].alias("encoding"), F.when(n >= 16, p).otherwise(1.0).alias("p"))
+        return F.struct(v["name"].alias("encoding"), F.when(n >= LEAST_BODY, p).otherwise(F.lit(1.0)).alias("p"))
 
-    one = F.array(F.struct(body.alias("body"), name.alias("name"), alphabet.alias("alphabet")))
-    return F.element_at(F.transform(F.transform(F.transform(one, statistics), counted), test), 1)
+    return once(once(once(F.regexp_replace(run, "=+$", ""), inferred), statistics), test)
 
 
 def _weight(n: Column) -> Column:
@@ -238,15 +304,15 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     A null text is the empty one; rows that repeat are scanned each for themselves. The texts are read
     once; what was found in them is stored, and the counts of p-values that set the thresholds
-    (some hundred numbers) come from there. Runs that overlap a base span are not tested.
+    (some hundred numbers) come from there. Runs that overlap a base span are not tested. Work and memory
+    are in proportion to a text's length, however many matches it has; a text is one value of one row, at most 2 GB.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     wanted = {"assign": (PATTERNS["assign"], LEAST["assign"], 2), "access": (PATTERNS["access"], LEAST["access"], 0), "hex": (HEX_RUN, LEAST["hex"], 0), "runs": (RUN, 0, 0)}
     base = docs.select("doc_id", *keep, text.alias("_t"))
     base = base.select("*", *[hits(F.col("_t"), p).alias(f"_{k}") for k, (p, _, _) in wanted.items()])
     base = base.select("doc_id", *keep, *[places(F.col("_t"), F.col(f"_{k}"), p, least, g).alias(k) for k, (p, least, g) in wanted.items()])
-    taken = F.concat("assign", "access", "hex")
-    free = F.filter("runs", lambda r: ~F.exists(taken, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    free = F.filter("runs", lambda r: ~(overlaps(r, F.col("assign")) | overlaps(r, F.col("access")) | overlaps(r, F.col("hex"))))
     tested = F.transform(free, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["n"].alias("n"), battery(r["hit"]).alias("test")))
     found = stored(base.select("doc_id", *keep, "assign", "access", "hex", tested.alias("runs")), "secrets")
 
@@ -261,9 +327,6 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             above += steps[step]
             if 10 ** (-step / STEPS) * total <= FDR * weight * above:
                 limits[weight] = step
-    limit = F.lit(None).cast("int")
-    for weight, step in limits.items():
-        limit = F.when(_weight(F.col("x.n")) == weight, F.lit(step)).otherwise(limit)
 
     def named(kind: str, order: int, column: str) -> Column:
         return F.transform(F.col(column), lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("order"), m["end"].alias("end"), F.lit(kind).alias("kind")))
@@ -287,14 +350,7 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; overlapping spans become one mark. Nothing else changes."""
     found = scan(packed(docs), ("text", "_row"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        cut = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], cut).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate("spans", start, step)
-    text = F.when(F.size("spans") > 0, F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text")))).otherwise(F.col("text"))
+    text = F.when(F.size("spans") > 0, cut_out(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text"))
     return unpacked(found, docs.columns, text)
 
 

@@ -402,6 +402,88 @@ def test_short_random_keys_are_found(spark, keys):
     assert len([i for i in got if i < 1000]) <= 0.05 * len(got)
 
 
+def brute_battery(run):
+    """The p-value of one run of characters, in plain Python."""
+    body = run.rstrip("=")
+    n = len(body)
+    if n < secrets.LEAST_BODY:
+        return 1.0
+    alphabet = next((a for _, a in secrets.ALPHABETS if not set(body) - set(a)), secrets.ALPHABETS[-2][1] + "-_=")
+    k, codes = len(alphabet), [alphabet.index(c) for c in body]
+    upper = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    counts = collections.Counter(codes)
+    chi, away = sum(c * c for c in counts.values()) * k / n - n, n * secrets.EFFECT_CHI
+    p_chi = upper((k - 1 + away - chi) / math.sqrt(2 * (k - 1 + 2 * away)))
+    share = sum((a >= k / 2) != (b >= k / 2) for a, b in zip(codes, codes[1:])) / (n - 1)
+    p_runs = upper((secrets.EFFECT_RUNS - abs(share - 0.5)) * 2 * math.sqrt(n - 1))
+    mean = sum(codes) / n
+    var = sum((c - mean) ** 2 for c in codes)
+    r = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / var if var else 1.0
+    p_serial = upper((secrets.EFFECT_SERIAL - abs(r)) * math.sqrt(n - 1))
+    cost, bits = secrets.TRANSITIONS.split(), 0.0
+    for i, c in enumerate(body):
+        a, b = (0 if not i else secrets.KEYS.index(body[i - 1]) + 1), secrets.KEYS.index(c) + 1
+        usual = 0.7 * 2 ** (-secrets.CODES.index(cost[a][b - 1]) / 4) + 0.1 * (b in (a, a + 1)) + 0.01 * (i > 0 and body[i - 1].isdigit() and c.isdigit())
+        bits -= math.log2(usual + 0.2 * (body.count(c) - 1) / (n - 1))
+    gain = bits - n * (math.log2(k) + secrets.EFFECT_TEXT)
+    return max(min(1.0, 2 * min(max(p_chi, p_runs, p_serial), 2 ** -max(0.0, min(gain, 100.0)))), 1e-12)
+
+
+def test_battery_and_false_discoveries_against_plain_python(spark):
+    r = random.Random(12)
+    names = ["".join(r.choice(["get", "User", "value_", "-x", "Index", "42", "/path"]) for _ in range(r.randrange(6, 30))) for _ in range(300)]
+    keys = ["".join(r.choice(r.choice(secrets.ALPHABETS)[1]) for _ in range(r.randrange(20, 150))) + "=" * r.randrange(3) for _ in range(200)]
+    runs = [t for t in names + keys + ["a" * 40, "0123456789" * 3, "=" * 30, "ab" + "=" * 30] if len(t) >= 20]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(runs)], "doc_id long, text string").coalesce(2)
+    got = {x[0]: x[1]["p"] for x in df.select("doc_id", secrets.battery(F.col("text"))).collect()}
+    want = {i: brute_battery(t) for i, t in enumerate(runs)}
+    for i in want:  # the tail is approximated to 1e-7
+        assert abs(got[i] - want[i]) <= 3e-7 + 1e-4 * want[i], runs[i]
+    free = {i: t for i, t in enumerate(runs) if not brute_secrets(t)}
+    step = {i: math.floor(-math.log10(got[i]) * secrets.STEPS) for i in free}
+    weight = {i: 0.25 if len(t) < 24 else 0.5 if len(t) < 32 else 1.0 for i, t in free.items()}
+    found = set()
+    for w in set(weight.values()):
+        own = [i for i in free if weight[i] == w]
+        fine = [s for s in {step[i] for i in own} if 10 ** (-s / secrets.STEPS) * len(own) <= secrets.FDR * w * sum(step[i] >= s for i in own)]
+        found |= {i for i in own if fine and step[i] >= min(fine)}
+    assert {x["doc_id"] for x in secrets.scan(df).where("size(random) > 0").collect()} == found and len(found) > 50
+
+
+def test_many_matches_in_one_text(spark):
+    """Spans are right, and the time for a match doesn't grow with their number."""
+    import time
+
+    r, took = random.Random(3), {}
+    for n in (4000, 16000):
+        text = " é".join(f"AKIA{r.randrange(10**17):017d} token=abcdef{i} {'Ab1' * 9}" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+        got = secrets.scan(df).select(secrets.joined(F.col("base"))).first()[0]
+        assert got == ",".join(f"{k}:{a}:{b}" for k, a, b in brute_secrets(text))
+        start = time.perf_counter()
+        out = secrets.redact(df).first()["text"]
+        took[n] = time.perf_counter() - start
+        assert out.count("[secret]") >= 2 * n and "AKIA" not in out and "token=" not in out
+    assert took[16000] < 5 * took[4000] + 2
+
+
+def test_redaction_of_long_and_overlapping_spans(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(40):
+        parts = [r.choice(["é" * r.randrange(3000), "password=" + "0af" * r.randrange(3, 2000), "AKIA" + "B" * r.randrange(16, 1100), "secret: x", " \n😀 "]) for _ in range(r.randrange(1, 9))]
+        rows.append((i, r.choice(["", " ", "|"]).join(parts)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = {x["doc_id"]: x["text"] for x in secrets.redact(df).collect()}
+    for i, text, spans in ((x["doc_id"], dict(rows)[x["doc_id"]], x["spans"]) for x in secrets.scan(df).collect()):
+        out, at = "", 0
+        for s in spans:
+            if s["start"] >= at:
+                out += text[at : s["start"]] + "[secret]"
+            at = max(at, s["end"])
+        assert got[i] == out + text[at:]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é password=abcdef0123456789abcdef0123456789 end"), (2, "clean"), (3, None)], "doc_id long, text string")
     assert [r["text"] for r in secrets.redact(df).orderBy("doc_id").collect()] == ["é [secret] end", "clean", None]
