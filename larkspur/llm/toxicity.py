@@ -1,13 +1,16 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier.
 
-1. A bounded sample of labelled rows is drawn (``MOST_TOXIC`` and ``MOST_CLEAN``; smallest hashes of doc_id).
-2. Words and their beginnings that go with the label in the sample make the lexicons. Each lexicon
+1. A bounded sample of rows is drawn by the smallest hashes of doc_id: labelled ones (``MOST_TOXIC`` and
+   ``MOST_CLEAN``) and ones without a label (``MOST_UNLABELLED``).
+2. Words and their beginnings that go with the label in the labelled sample make the lexicons. Each lexicon
    is a voter; patterns (shouting, repeated marks, address in the second person, density and
-   absence of lexicon words) are further ones, and the given label is one more, fallible voter.
+   absence of lexicon words) are further ones, and so is the given label, which abstains where there is none.
 3. The label model holds, for each voter, the probabilities of its votes (for, against, abstain)
-   given the hidden class, found by expectation maximisation. The correlations of the voters'
+   given the hidden class, found by expectation maximisation over all rows of the sample. No voter's error rates are
+   fixed or held within bounds, so accurate voters overrule wrong labels. The correlations of the voters'
    residuals given the class are estimated as well; a voter counts the less, the more others repeat it.
 4. A logistic classifier over the lexicon features is trained on the posterior labels, and scores every text.
+   A text is read whole, whatever its length.
 """
 
 from __future__ import annotations
@@ -21,12 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import textnum as X
-from larkspur.llm.common import bounded_batches, load, packed, text_pieces, unpacked
+from larkspur.llm.common import bounded_batches, load, packed, stored, text_pieces, unpacked
 
-#: Bounds of the sample of labelled rows from which all is fitted.
-MOST_TOXIC, MOST_CLEAN = 3000, 6000
+#: Bounds of the sample from which all is fitted: rows with each label, and rows of which those without a label are taken.
+MOST_TOXIC, MOST_CLEAN, MOST_UNLABELLED = 3000, 6000, 3000
 #: Features of the classifier, lexicon voters, and documents in which a feature must occur.
 FEATURES, LEXICONS, LEAST_DOCS = 2048, 40, 3
+LEAST_VOTING = 64
 #: A feature's share among toxic documents must lie so many standard errors and times above that among the others.
 LEAST_Z, LEAST_RATIO = 4.0, 10.0
 PREFIXES = (4, 5, 6)
@@ -80,20 +84,26 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 
 def draw(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """(doc_id, text, toxic) of the sample, and the share of toxic among all labels that may be used."""
+    """(doc_id, text, toxic) of the sample, toxic null where no label is given, and the share of toxic among all
+    labels that may be used. Held-out rows take no part, with or without a label."""
     may = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
     may = may.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = {r["toxic"]: r["count"] for r in may.groupBy("toxic").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = may.where("toxic = 1").orderBy(*order).limit(MOST_TOXIC).unionByName(may.where("toxic = 0").orderBy(*order).limit(MOST_CLEAN))
     some = some.select(F.col("doc_id").alias("_id"), "toxic")
-    joined = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))  # 9000 rows of two numbers at most
+    drawn = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).select("doc_id").orderBy(*order).limit(MOST_UNLABELLED).select(F.col("doc_id").alias("_id")).distinct()
+    given = labels.where("toxic IS NOT NULL").select(F.col("doc_id").alias("_k")).join(F.broadcast(drawn), F.col("_k") == F.col("_id")).select("_k").distinct()
+    free = drawn.join(F.broadcast(given), F.col("_id") == F.col("_k"), "left_anti")  # both of MOST_UNLABELLED ids at most
+    some = some.unionByName(free.select("_id", F.lit(None).cast("int").alias("toxic")))
+    joined = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))  # 12000 rows of two numbers at most
     sample = joined.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic"))
     return sample, (n.get(1, 0) + 0.5) / (sum(n.values()) + 1)
 
 
-def associate(sample: DataFrame) -> np.ndarray:
-    """Hashes of the features that go with the label most surely, most sure first.
+def associate(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the features that go with the label most surely, most sure first, and which of them are sure enough to
+    vote: the best eighth (``LEAST_VOTING`` at least), and of all features tested less than one is expected to go so far by chance. Every row of ``sample`` has a label.
 
     Tasks count documents per feature and class; the counts are summed per shard of hashes.
     """
@@ -135,11 +145,22 @@ def associate(sample: DataFrame) -> np.ndarray:
         ratio = (pos + 0.1) / (n1 + 1) / ((both - pos + 0.1) / (n0 + 1))
         best = np.flatnonzero((both >= LEAST_DOCS) & (z > LEAST_Z) & (ratio > LEAST_RATIO))
         best = best[np.argsort(-z[best], kind="stable")][:FEATURES]
-        return pa.table({"h": pa.array(u[best].view(np.int64)), "z": pa.array(z[best])})
+        sure = chance(pos[best], both[best], n1, n0) + np.log((both >= LEAST_DOCS).sum() * SHARDS + 1.0) < 0
+        return pa.table({"h": pa.array(u[best].view(np.int64)), "z": pa.array(z[best]), "sure": pa.array(sure)})
 
-    got = sample.mapInArrow(count, "shard long, packed binary").groupBy("shard").applyInArrow(choose, "h long, z double").toArrow()
-    h, z = got.column("h").to_numpy().view(np.uint64), got.column("z").to_numpy()
-    return h[np.lexsort((h, -z))][:FEATURES]
+    got = sample.mapInArrow(count, "shard long, packed binary").groupBy("shard").applyInArrow(choose, "h long, z double, sure boolean").toArrow()
+    h, z, sure = got.column("h").to_numpy().view(np.uint64), got.column("z").to_numpy(), got.column("sure").to_numpy(zero_copy_only=False).astype(bool)
+    best = np.lexsort((h, -z))[:FEATURES]
+    return h[best], sure[best] & (np.arange(len(best)) < max(LEAST_VOTING, len(best) // 8))
+
+
+def chance(pos: np.ndarray, both: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Log of Chernoff's bound on the chance that ``pos`` of ``both`` documents are toxic, if the feature told nothing."""
+    q = np.clip(n1 / max(n1 + n0, 1), 1e-9, 1 - 1e-9)
+    p = pos / np.maximum(both, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = np.where(p > 0, p * np.log(p / q), 0) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - q)), 0)
+    return np.where(p > q, -both * far, 0.0)
 
 
 def z_score(pos, both, n1: int, n0: int):
@@ -151,17 +172,17 @@ def z_score(pos, both, n1: int, n0: int):
 
 class Votes(NamedTuple):
     votes: np.ndarray  #: documents x voters, of -1, 0, 1
-    toxic: np.ndarray
+    toxic: np.ndarray  #: the given label, or -1
     doc: np.ndarray  #: with ``feature``: what is present where
     feature: np.ndarray
 
 
-def vote(sample: DataFrame, ranked: np.ndarray) -> Votes:
-    """The voters' say on each document of the sample, and its features."""
+def vote(sample: DataFrame, ranked: np.ndarray, sure: np.ndarray) -> Votes:
+    """The voters' say on each document of the sample, and its features. Only sure features vote."""
     lex = Lexicon.of(ranked)
     rank = np.empty(len(ranked), np.int64)
     rank[np.searchsorted(lex.hashes, ranked)] = np.arange(len(ranked))
-    shared = sample.sparkSession.sparkContext.broadcast((lex, rank % LEXICONS, rank < max(64, len(ranked) // 8)))
+    shared = sample.sparkSession.sparkContext.broadcast((lex, rank % LEXICONS, sure[rank]))
 
     def run(batches):
         lex, voter, sure = shared.value
@@ -178,7 +199,7 @@ def vote(sample: DataFrame, ranked: np.ndarray) -> Votes:
                 size = np.maximum(np.diff(off), 1)
                 capitals = np.concatenate([[0], np.cumsum((buf >= 65) & (buf <= 90))])
                 votes[:, LEXICONS] = capitals[off[1:]] - capitals[off[:-1]] > 0.3 * size
-                for i in np.flatnonzero(strong).tolist():
+                for i in range(n):
                     t = texts[lo + i].as_py()
                     votes[i, LEXICONS + 1] = bool(SHOUT.search(t))
                     votes[i, LEXICONS + 2] = bool(ADDRESS.search(t))
@@ -186,7 +207,7 @@ def vote(sample: DataFrame, ranked: np.ndarray) -> Votes:
                 votes[:, LEXICONS + 4] = np.where(strong * 2000 >= size, 1, np.where(hits * 4000 < size, -1, 0))
                 cut = np.searchsorted(d, np.arange(n + 1))
                 present = [f[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array([v.tobytes() for v in votes], pa.binary()), batch.column("toxic").cast(pa.int32())[lo:hi], pa.array(present, pa.binary())], ["doc_id", "votes", "toxic", "present"])
+                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array([v.tobytes() for v in votes], pa.binary()), batch.column("toxic").fill_null(-1).cast(pa.int32())[lo:hi], pa.array(present, pa.binary())], ["doc_id", "votes", "toxic", "present"])
 
     got = sample.mapInArrow(run, "doc_id long, votes binary, toxic int, present binary").toArrow().sort_by("doc_id")
     votes = np.frombuffer(b"".join(got.column("votes").to_pylist()), np.int8).reshape(got.num_rows, -1)
@@ -195,35 +216,43 @@ def vote(sample: DataFrame, ranked: np.ndarray) -> Votes:
     return Votes(votes, got.column("toxic").to_numpy(), doc, np.concatenate(present) if present else np.zeros(0, np.int32))
 
 
-def label_model(votes: np.ndarray, prior: float, gold: np.ndarray | None = None, steps: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, prior: float | np.ndarray, gold: np.ndarray | None = None, steps: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of class 1 for each row, the accuracies of the voters, and their residual correlations.
 
-    Votes are conditionally independent given the class but for the correlations, which enter as weights.
-    ``gold`` (0 or 1) are given labels: one more voter, whose error rates are estimated as well but held
-    within 0.1 and 2 percent, and whose weight stays 1, as it has its own source.
+    ``prior`` is the share of class 1, for all rows or for each. ``gold`` are given labels (1, 0, or -1 for none): the last
+    voter, whose error rates are estimated as everyone's are. Votes are independent given the class but for the
+    correlations of what the class leaves unexplained; a voter's log-odds are divided by the number of voters that it
+    stands for, itself and each other one by its correlation. Before the first estimate only voters that all but repeat
+    each other count as one.
     """
+    if gold is not None:
+        votes = np.column_stack([votes, np.where(gold < 0, 0, np.where(gold > 0, 1, -1))]).astype(np.int8)
     n, m = votes.shape
     hot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)  # n x m x 3
-    balance = votes.sum(1)
+    value = np.array([-1.0, 0.0, 1.0])
+
+    raw = votes.var(0)
+
+    def correlation(residual: np.ndarray, explained: float = 0.05) -> np.ndarray:
+        """Of residuals; what is left of a voter that the class explains all but ``explained`` of doesn't count."""
+        residual = (residual - residual.mean(0)) / np.sqrt(residual.var(0) + explained * raw + 1e-9)
+        out = residual.T @ residual / n
+        np.fill_diagonal(out, 1)
+        return out
+
+    corr = correlation(votes.astype(float), 0.0)
+    weight = 1 / (corr > 0.95).sum(1)
+    balance = votes @ weight
     y = np.where(balance > 0, 0.9, 0.1)
-    weight, corr = np.ones(m), np.eye(m)
+    odds = np.log(np.asarray(prior, float) / (1 - np.asarray(prior, float)))
     for step in range(steps):
         t1 = np.einsum("n,nmv->mv", y, hot) + [0.5, 1, 1.0]
         t0 = np.einsum("n,nmv->mv", 1 - y, hot) + [1.0, 1, 0.5]
         p1, p0 = t1 / t1.sum(1, keepdims=True), t0 / t0.sum(1, keepdims=True)
-        value = np.array([-1.0, 0.0, 1.0])
         if step % 5 == 4:
-            residual = votes - (y[:, None] * (p1 @ value) + (1 - y)[:, None] * (p0 @ value))
-            scale = residual.std(0) + 1e-9
-            corr = (residual / scale).T @ (residual / scale) / n
-            strong = np.where(np.abs(corr) > 0.1, np.abs(corr), 0)
-            np.fill_diagonal(strong, 0)
-            weight = 1 / (1 + strong.sum(1))
-        logit = np.einsum("nmv,mv,m->n", hot, np.log(p1) - np.log(p0), weight) + np.log(prior / (1 - prior))
-        if gold is not None:
-            miss, alarm = ((y * (1 - gold)).sum() + 0.01) / (y.sum() + 1), ((1 - y) * gold).sum() / ((1 - y).sum() + 1)
-            miss, alarm = np.clip([miss, alarm], 0.001, 0.02)
-            logit = np.clip(logit, -3, 3) + np.where(gold == 1, np.log((1 - miss) / alarm), np.log(miss / (1 - alarm)))
+            corr = correlation(votes - (y[:, None] * (p1 @ value) + (1 - y)[:, None] * (p0 @ value)))
+            weight = 1 / np.where(corr > 0.1, corr, 0).sum(1)
+        logit = np.einsum("nmv,mv,m->n", hot, np.log(p1) - np.log(p0), weight) + odds
         y = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
     accuracy = (p1[:, 2] * y.mean() + p0[:, 0] * (1 - y.mean())) / (1 - (hot[:, :, 1].mean(0)) + 1e-9)
     return y, np.clip(accuracy, 0, 1), corr
@@ -256,13 +285,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample, prior = draw(docs, labels)
     bias = float(np.log(prior / (1 - prior)))
     nothing = Model(Lexicon.of(np.zeros(0, np.uint64)), np.zeros(0), bias)
-    ranked = associate(sample)
+    sample = stored(sample, "sample")  # bounded rows, read three times
+    ranked, sure = associate(sample.where("toxic IS NOT NULL"))
     if not len(ranked):
         return nothing
-    v = vote(sample, ranked)
-    share = float(np.clip(v.toxic.mean(), 0.01, 0.99))
-    y, _, _ = label_model(v.votes, share, v.toxic)
-    weight = np.where(v.toxic == 1, prior / share, (1 - prior) / (1 - share))
+    v = vote(sample, ranked, sure)
+    share = float(np.clip((v.toxic == 1).sum() / max((v.toxic >= 0).sum(), 1), 0.01, 0.99))
+    y, _, _ = label_model(v.votes, np.where(v.toxic >= 0, share, prior), v.toxic)
+    weight = np.where(v.toxic == 1, prior / share, np.where(v.toxic == 0, (1 - prior) / (1 - share), 1.0))  # as many as in the corpus
     w, b = fit_linear(v.doc, v.feature, y, weight, len(ranked))
     return Model(Lexicon.of(ranked), w, b)
 

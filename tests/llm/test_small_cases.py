@@ -555,6 +555,26 @@ def test_label_model_finds_accuracies():
     assert ((p > 0.5) == y).mean() > 0.85 and accuracy[0] > accuracy[3] and corr[4, 5] > 0.9
 
 
+def test_accurate_voters_overrule_wrong_labels():
+    g = np.random.default_rng(1)
+    y = g.random(5000) < 0.4
+    votes = np.stack([np.where(g.random(5000) < 0.95, 2 * y - 1, 1 - 2 * y) for _ in range(12)], 1).astype(np.int8)
+    gold = np.where(g.random(5000) < 0.2, ~y, y).astype(int)
+    gold[g.random(5000) < 0.3] = -1  # rows without a label take part
+    p, accuracy, _ = toxicity.label_model(votes, 0.4, gold)
+    assert ((p > 0.5) == y).mean() > 0.995 and abs(accuracy[-1] - 0.8) < 0.03 and abs(accuracy[:-1] - 0.95).max() < 0.03
+
+
+def test_voters_that_repeat_each_other_count_once():
+    g = np.random.default_rng(2)
+    y = g.random(5000) < 0.5
+    vote = lambda a: np.where(g.random(5000) < a, 2 * y - 1, 1 - 2 * y)
+    good, bad = [vote(0.85) for _ in range(5)], vote(0.65)
+    alone = toxicity.label_model(np.stack([*good, bad], 1).astype(np.int8), 0.5)[0]
+    many = toxicity.label_model(np.stack([*good, *[bad] * 12], 1).astype(np.int8), 0.5)[0]
+    assert ((alone > 0.5) == (many > 0.5)).mean() > 0.99 and ((many > 0.5) == y).mean() > 0.95
+
+
 # --- 9
 
 def brute_repeats(rows, window):
