@@ -102,15 +102,21 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder of ours under the shared one, deleted by ``release`` or at exit."""
+    """A new folder of ours under the shared one, deleted by ``release``, or at exit. What a lazy frame reads
+    stays until then, as only its user knows when it is done with."""
     path = f"{shared_root(spark)}/larkspur/{what}-{uuid.uuid4().hex[:12]}"
     _scratch[path] = spark
     return path
 
 
-def release(spark: SparkSession, but: str = "") -> None:
-    """Delete the scratch folders made so far. Frames that still read them can't be used any more."""
-    for path in [p for p, s in _scratch.items() if p != but]:
+def made(spark: SparkSession) -> set[str]:
+    """The scratch folders of this session that are there now."""
+    return {p for p, s in _scratch.items() if s is spark}
+
+
+def release(spark: SparkSession, paths: set[str]) -> None:
+    """Delete scratch folders. Frames that still read them can't be used any more, so name only your own."""
+    for path in [p for p in paths if p in _scratch]:
         try:
             jvm = spark._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
@@ -124,7 +130,7 @@ def release(spark: SparkSession, but: str = "") -> None:
 def _at_exit() -> None:
     for spark in set(_scratch.values()):
         if spark._sc is not None and spark._sc._jsc is not None:
-            release(spark)
+            release(spark, made(spark))
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

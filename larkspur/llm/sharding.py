@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import bounded_batches, load
+from larkspur.llm.common import bounded_batches, load, stored
 from larkspur.llm.ranks import ranked
 
 BITS = 6
@@ -50,19 +50,32 @@ def _curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series(hilbert([a.to_numpy(), b.to_numpy(), c.to_numpy()]))
 
 
-def string_cells(df: DataFrame, column: str) -> Column:
-    """The step of each value of a string column, in value order; null is on step 0.
+def _last_border(borders: Column, value: Column) -> Column:
+    return F.element_at(F.filter(borders, lambda b: b["low"] <= value), -1)
 
-    The distinct values are ranked as a distributed sort; at most ``CELLS`` borders come to the driver.
+
+def string_cells(df: DataFrame, *columns: str) -> list[Column]:
+    """The step of each value of string columns, in value order; null is on step 0.
+
+    The distinct values of all columns are found in one pass and ranked as a distributed sort; at most
+    ``CELLS`` borders for each column come to the driver.
     """
-    distinct, n = ranked(df.select(F.col(column).alias("v")).where("v IS NOT NULL").distinct(), [F.col("v")])
-    if not n:
-        return F.lit(0)
-    cell = F.floor(F.col("rank") * CELLS / F.lit(n)).cast("int")
-    borders = sorted((r.low, r.cell) for r in distinct.groupBy(cell.alias("cell")).agg(F.min("v").alias("low")).collect())
-    table = F.array(*[F.struct(F.lit(low).alias("low"), F.lit(c).alias("cell")) for low, c in borders])
-    below = F.filter(table, lambda b: b["low"] <= F.col(column))
-    return F.when(F.col(column).isNull(), 0).otherwise(F.element_at(below, -1)["cell"])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)])).alias("x")
+    distinct = df.select(*columns).distinct().select(each).select("x.c", "x.v").where("v IS NOT NULL").distinct()
+    place, _ = ranked(distinct, [F.col("c"), F.col("v")])
+    place = stored(place, "values")
+    of = {r["c"]: (r["low"], r["n"]) for r in place.groupBy("c").agg(F.min("rank").alias("low"), F.count(F.lit(1)).alias("n")).collect()}
+    bounds = place.join(F.broadcast(df.sparkSession.createDataFrame([(c, *x) for c, x in of.items()], "_c int, _low long, _n long")), F.col("c") == F.col("_c"))
+    cell = F.floor((F.col("rank") - F.col("_low")) * CELLS / F.col("_n")).cast("int")
+    borders = sorted((r["c"], r["low"], r["cell"]) for r in bounds.groupBy("c", cell.alias("cell")).agg(F.min("v").alias("low")).collect())
+    out = []
+    for i, c in enumerate(columns):
+        own = [F.struct(F.lit(low).alias("low"), F.lit(k).alias("cell")) for j, low, k in borders if j == i]
+        if not own:
+            out.append(F.lit(0))
+            continue
+        out.append(F.when(F.col(c).isNull(), 0).otherwise(_last_border(F.array(*own), F.col(c).cast("string"))["cell"]))
+    return out
 
 
 def size_cells(size: Column) -> Column:
@@ -72,32 +85,36 @@ def size_cells(size: Column) -> Column:
     return F.least(F.lit(CELLS - 1), (bits - 1) * 2 + half).cast("int")
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
+def hilbert_shards(docs: DataFrame, shards: int = 16, whole: bool = False) -> DataFrame:
     """Each document's ``size``, ``text_crc32``, ``curve``, ``shard`` and ``slot``.
 
     Shards hold equal numbers of rows, at most one apart; slots are gapless from 0 within a shard.
     Ties on the curve go by the text's CRC and then by doc_id, so copies with the same metadata are
     neighbours. Null texts have size 1 and CRC 0; null metadata lies on step 0; a null doc_id sorts
-    first; rows that repeat each get a slot. Only narrow columns are shuffled, never the text.
+    first; rows that repeat each get a slot. Only narrow columns are shuffled, never the text, of whatever length.
     """
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    narrow = docs.select("doc_id", "source", "lang", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    source, lang = string_cells(docs, "source"), string_cells(docs, "lang")
+    rows = [F.struct(*docs.columns).alias("_whole")] if whole else []
+    narrow = docs.select(*rows, "doc_id", "source", "lang", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    source, lang = string_cells(docs, "source", "lang")
     placed = narrow.withColumn("curve", _curve(source, lang, size_cells(F.col("size")))).withColumn("_row", F.monotonically_increasing_id())
     order = [F.col(c).asc_nulls_first() for c in ("curve", "text_crc32", "doc_id", "_row")]
-    out, n = ranked(placed.select("doc_id", "size", "text_crc32", "curve", "_row"), order)
+    out, n = ranked(placed.select(*(["_whole"] if whole else []), "doc_id", "size", "text_crc32", "curve", "_row"), order)
     shard = F.floor(F.col("rank") * shards / F.lit(max(n, 1))).cast("int")
     first = F.ceil(F.col("shard").cast("bigint") * n / F.lit(shards))
     return out.withColumn("shard", shard).withColumn("slot", (F.col("rank") - first).cast("bigint")).drop("rank", "_row")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """Write the documents as one folder per shard, in curve order inside it."""
-    at = hilbert_shards(docs, shards).select(F.col("doc_id").alias("_d"), F.col("text_crc32").alias("_c"), "shard", "slot").dropDuplicates(["_d", "_c"])
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    joined = docs.withColumn("_crc", crc).join(at, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_crc") == F.col("_c"))).drop("_d", "_c", "_crc")
-    joined.repartitionByRange(shards * 4, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write the documents as one folder per shard (``hilbert_shard``), with ``hilbert_slot`` and ``hilbert_curve`` added.
+
+    Whole rows go through the sort on the curve once; every file is a run of neighbouring slots, so readers
+    prune by the statistics of the slots, and of the metadata that the curve keeps together.
+    """
+    out = hilbert_shards(docs, shards, whole=True)
+    added = [F.col(c).alias(f"hilbert_{c}") for c in ("shard", "slot", "curve")]
+    out.select("_whole.*", *added).sortWithinPartitions("hilbert_shard", "hilbert_slot").write.partitionBy("hilbert_shard").parquet(path)
 
 
 def op3_hilbert_sharding(spark, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ For a pivot p, |d(q,p) - d(x,p)| never exceeds d(q,x), and the inner product is
 score from above. Candidates are evaluated in the order of their bounds, and a query is done when the next
 bound is below its k-th best score. The origin is always a pivot, which gives |q||x| as a bound.
 
-Queries go out in blocks of bounded size, each with the scores that a bounded sample of vectors
-already reaches; every task scans its vectors in blocks and returns at most k rows for each query.
+Queries go out in blocks of bounded size, each with the score that k vectors of a bounded sample
+already reach, which tasks work out; every task scans its vectors in blocks and returns at most k rows for each
+query. Blocks are answered one after the other and written, so that the plan doesn't grow with their number.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import bounded_batches, load, stored
+from larkspur.llm.common import bounded_batches, load, scratch, stored
 
 SCALE = 1024
 #: Pivots, vectors from which they are chosen, queries of one pass, vectors of one block.
@@ -32,7 +33,7 @@ LOW, HIGH = -(1 << 63), (1 << 63) - 1
 def quantise(column: pa.Array, ids: pa.Array, scale: int = SCALE) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """For each dimension: the ids, and floor(scale * x) of the vectors, as doubles that hold integers.
 
-    Vectors that are null, empty or without an id, and those that hold a null or non-finite component, are left out.
+    Vectors that are null, empty or without an id, and those that hold a component that is null, or not finite times ``scale``, are left out.
     """
     sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     flat = column.flatten()
@@ -44,9 +45,11 @@ def quantise(column: pa.Array, ids: pa.Array, scale: int = SCALE) -> dict[int, t
     for d in np.unique(sizes[sizes > 0]).tolist():
         rows = np.flatnonzero((sizes == d) & known)
         x = values[at[rows][:, None] + np.arange(d)]
+        with np.errstate(over="ignore", invalid="ignore"):
+            x = np.floor(x * scale)
         fine = np.isfinite(x).all(1)
         if fine.any():
-            out[d] = number[rows][fine], np.floor(x[fine] * scale)
+            out[d] = number[rows][fine], x[fine]
     return out
 
 
@@ -131,35 +134,59 @@ def _query_blocks(queries: DataFrame, size: int):
             yield block.slice(a, size)
 
 
+def reach(queries: DataFrame, drawn: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """``queries`` with ``reached``: a score that k vectors of the sample reach, or the lowest number."""
+    shared = queries.sparkSession.sparkContext.broadcast(drawn)  # bounded by SAMPLE
+
+    def run(batches):
+        for batch in batches:
+            out = np.full(batch.num_rows, LOW)
+            sizes = batch.column("embedding").value_lengths().to_numpy(zero_copy_only=False)
+            for d, (ids, q) in quantise(batch.column("embedding"), batch.column("vec_id"), 1).items():
+                s_ids, s = shared.value.get(d, (np.zeros(0, np.int64), np.zeros((0, d))))
+                for at, i, v in zip(np.flatnonzero(sizes == d).tolist(), ids.tolist(), q):
+                    scores = products(s[s_ids != i], v)
+                    if len(scores) >= k:
+                        out[at] = np.partition(scores, len(scores) - k)[len(scores) - k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "reached"])
+
+    return queries.mapInArrow(run, "vec_id long, embedding array<double>, reached long")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best candidates, ties to the smaller vec_id.
 
     Both frames have ``vec_id`` and ``embedding``. Candidates are the vectors of the query's dimension
-    that don't carry its id; each row that repeats counts. A query id that repeats is answered once,
-    for its smallest vector. Vectors that ``quantise`` leaves out take no part.
+    that don't carry its id: rows that share a query's id count as that query's own. Among candidates each row
+    that repeats counts. A query id that repeats is answered once, for its smallest vector after rounding.
+    Vectors that ``quantise`` leaves out take no part. A vector with as many components as a text has
+    letters is a row as any other; a block holds ``BLOCK`` vectors, so memory is theirs.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
     vectors = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     queries = queries.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     sane = F.size("embedding") > 0
-    for bad in ("isnull(x)", "isnan(x)", "abs(x) = double('Infinity')"):
+    for bad in ("isnull(x)", "isnan(x)", f"abs(x * {SCALE}) = double('Infinity')"):
         sane = sane & ~F.expr(f"exists(embedding, x -> {bad})")
-    queries = queries.where(F.col("vec_id").isNotNull() & sane).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    scaled = F.transform("embedding", lambda x: x * SCALE)
+    rounded = F.transform(scaled, lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y))  # beyond, doubles hold integers
+    queries = queries.where(F.col("vec_id").isNotNull() & sane).select("vec_id", rounded.alias("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     sample = vectors.where(F.col("vec_id").isNotNull() & sane).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().combine_chunks()
     drawn = quantise(sample.column("embedding").combine_chunks(), sample.column("vec_id").combine_chunks()) if sample.num_rows else {}
-    out = None
-    for block in _query_blocks(queries, query_block):
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    ranked, paths = None, []
+    for block in _query_blocks(reach(queries, drawn, k), query_block):
+        if ranked is not None:
+            paths.append(scratch(spark, "found"))
+            ranked.write.parquet(paths[-1])
         sides = {}
-        for d, (ids, q) in quantise(block.column("embedding").combine_chunks(), block.column("vec_id").combine_chunks()).items():
-            s_ids, s = drawn.get(d, (np.zeros(0, np.int64), np.zeros((0, d))))
+        sizes = block.column("embedding").combine_chunks().value_lengths().to_numpy()
+        reached = block.column("reached").to_numpy()
+        for d, (ids, q) in quantise(block.column("embedding").combine_chunks(), block.column("vec_id").combine_chunks(), 1).items():
+            _, s = drawn.get(d, (None, np.zeros((0, d))))
             pivots = choose_pivots(s) if len(s) else np.zeros((1, d))
-            reached = np.full(len(ids), LOW)
-            for i in range(len(ids)):
-                scores = products(s[s_ids != ids[i]], q[i])
-                if len(scores) >= k:
-                    reached[i] = np.partition(scores, len(scores) - k)[len(scores) - k]
-            sides[d] = Side(ids, q, distances(q, pivots), pivots, reached)
+            sides[d] = Side(ids, q, distances(q, pivots), pivots, reached[sizes == d])
         shared = spark.sparkContext.broadcast(sides)  # bounded by query_block
 
         def run(batches, shared=shared):
@@ -187,12 +214,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int
                 if len(q):
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([m[0] for m in mine])), pa.array(np.concatenate([m[1] for m in mine]))], ["query_id", "vec_id", "score"])
 
-        found = vectors.mapInArrow(run, SCHEMA)
-        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        out = ranked if out is None else out.unionByName(ranked)
-    if out is None:
+        ranked = vectors.mapInArrow(run, SCHEMA).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if ranked is None:
         out = spark.createDataFrame([], SCHEMA + ", rank int")
+    elif not paths:
+        out = ranked
+    else:
+        paths.append(scratch(spark, "found"))
+        ranked.write.parquet(paths[-1])
+        out = spark.read.schema(ranked.schema).parquet(*paths)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
