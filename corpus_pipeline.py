@@ -60,8 +60,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.load(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        before = common.made(spark)
         path = common.scratch(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
-        common.release(spark, but=path)
+        common.release(spark, common.made(spark) - before - {path})
         docs = spark.read.parquet(path)
     return docs
