@@ -6,13 +6,15 @@ where the length reaches a window, the words of that window are hit and the stat
 that hold it. Before that, numpy finds the stretches in which every neighbouring pair of words also
 stands somewhere in an item; outside of them no match can reach a window, so only they are streamed.
 
-Items are taken in blocks of a bounded number of words; each block is one automaton, sent to the
-executors. More blocks mean more passes, whose hits are merged.
+Items are taken in blocks of a bounded number of words, of which a longer one is cut into overlapping parts. The
+driver builds one automaton at a time and packs it into flat arrays; as many as fit ``PASS_BYTES`` go to
+the executors together. More benchmark means more passes, whose hits are merged.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 import numpy as np
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 from larkspur.llm import textnum as X
 from larkspur.llm.common import bounded_batches, load, packed, stored, text_pieces, unpacked
 
-#: Words of a window, and words of the items of one automaton.
-WINDOW, BLOCK_WORDS = 8, 1_000_000
+#: Words of a window, words of the items of one automaton (about 1 KB each while it is built), bytes of the packed
+#: automata of a pass (about 100 for a word; every Python worker holds them).
+WINDOW, BLOCK_WORDS, PASS_BYTES = 8, 200_000, 64 << 20
 #: A fixed value: what a word is, after A-Z are lower-cased.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
@@ -35,17 +38,27 @@ def normalise(text: str | None) -> list[str]:
 
 
 class Automaton(NamedTuple):
+    """Flat arrays. Lists of different lengths are cut from one array by the places where they begin."""
+
     vocabulary: np.ndarray  #: sorted word hashes
     pairs: np.ndarray  #: sorted codes of neighbouring words
-    next: list[dict[int, int]]
-    link: list[int]
-    size: list[int]  #: longest match of each state
-    at_window: list[int]  #: for states that reach a window: the state of its last ``window`` words
-    items: dict[int, tuple[int, ...]]  #: items that hold the window of such a state
-    short: dict[int, tuple[tuple[int, int], ...]]  #: (words, item) of whole short items that end in a state
+    first: np.ndarray  #: where each state's transitions begin
+    letter: np.ndarray  #: their words, sorted in each state
+    target: np.ndarray  #: the states they lead to
+    link: np.ndarray
+    size: np.ndarray  #: longest match of each state
+    at_window: np.ndarray  #: for states that reach a window: the state of its last ``window`` words
+    item_first: np.ndarray  #: where the items of such a state begin
+    items: np.ndarray
+    short_first: np.ndarray  #: where the short items that end in a state begin
+    short_size: np.ndarray  #: their words
+    short_items: np.ndarray
     least: int  #: words of the shortest window
     window: int
 
+    def bytes(self) -> int:
+        return sum(x.nbytes for x in self if isinstance(x, np.ndarray))
+
 
 def build(items: list[tuple[int, list[str]]], window: int = WINDOW) -> Automaton:
     """The generalised suffix automaton of the items (number, words), built online."""
@@ -121,76 +134,113 @@ def build(items: list[tuple[int, list[str]]], window: int = WINDOW) -> Automaton
             if both:
                 short[s] = both
     least = min([len(w) for _, w in coded if len(w) < window], default=window)
-    return Automaton(vocabulary, np.array(sorted(pairs), np.int64), nxt, link, size, at_window, {s: tuple(sorted(v)) for s, v in held.items()}, short, least, window)
+
+    def flat(lists: dict, pick) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.zeros(len(nxt) + 1, np.int64)
+        for s, x in lists.items():
+            counts[s + 1] = len(x)
+        return np.cumsum(counts).astype(np.int32), np.array([pick(x) for s in sorted(lists) for x in lists[s]], np.int64)
+
+    steps = dict(enumerate(sorted(t.items()) for t in nxt))
+    first, letter = flat(steps, lambda x: x[0])
+    target = flat(steps, lambda x: x[1])[1].astype(np.int32)
+    item_first, held_items = flat({s: sorted(v) for s, v in held.items()}, lambda x: x)
+    short_first, short_size = flat(short, lambda x: x[0])
+    short_items = flat(short, lambda x: x[1])[1]
+    ints = (np.array(x, np.int32) for x in (link, size, at_window))
+    return Automaton(vocabulary, np.array(sorted(pairs), np.int64), first, letter.astype(np.int32), target, *ints, item_first, held_items, short_first, short_size, short_items, least, window)
 
 
 def stream(a: Automaton, words: list[int]):
     """(position past the match, its words, items) wherever a window ends."""
-    nxt, link, size, at_window, items, short, window = a.next, a.link, a.size, a.at_window, a.items, a.short, a.window
+    first, letter, target, link, size, at_window = map(memoryview, (a.first, a.letter, a.target, a.link, a.size, a.at_window))
+    item_first, short_first, window = memoryview(a.item_first), memoryview(a.short_first), a.window
     s = length = 0
     for k, c in enumerate(words, 1):
-        while s and c not in nxt[s]:
+        while True:
+            lo, hi = first[s], first[s + 1]
+            at = lo if hi - lo == 1 else bisect_left(letter, c, lo, hi)
+            if at < hi and letter[at] == c:
+                s, length = target[at], length + 1
+                break
+            if not s:
+                length = 0
+                break
             s = link[s]
             length = size[s]
-        t = nxt[s].get(c)
-        if t is None:
-            continue
-        s, length = t, length + 1
         if length >= window:
-            yield k, window, items[at_window[s]]
-        if short and s in short:
-            for n, i in short[s]:
-                if n <= length:
-                    yield k, n, (i,)
+            w = at_window[s]
+            yield k, window, a.items[item_first[w] : item_first[w + 1]].tolist()
+        for i in range(short_first[s], short_first[s + 1]):
+            if (n := int(a.short_size[i])) <= length:
+                yield k, n, (int(a.short_items[i]),)
 
 
-def find(a: Automaton, buf: np.ndarray, off: np.ndarray):
+def find(automata: list[Automaton], buf: np.ndarray, off: np.ndarray):
     """Word positions of a piece of texts, and (text, first word, past the last, items) of each hit."""
     buf = X.LOWER[buf]
     w = X.find_words(buf, off, X.WORDLIKE)
-    if not len(w.start) or not len(a.vocabulary):
-        return w, []
+    found: list[tuple] = []
     h = X.hash_words(buf, w)
-    at = np.minimum(np.searchsorted(a.vocabulary, h), len(a.vocabulary) - 1)
-    known = a.vocabulary[at] == h
-    joined = np.zeros(len(h), bool)  # joined[i]: words i-1 and i are neighbours in an item too
-    both = np.flatnonzero(known[1:] & known[:-1] & (w.doc[1:] == w.doc[:-1])) + 1
-    if len(a.pairs) and len(both):
-        code = at[both - 1] * len(a.vocabulary) + at[both]
-        place = np.minimum(np.searchsorted(a.pairs, code), len(a.pairs) - 1)
-        joined[both] = a.pairs[place] == code
-    begin = np.flatnonzero(known & ~joined)
-    ends = np.flatnonzero(known & ~np.append(joined[1:], False)) + 1
-    long = ends - begin >= a.least
-    found = []
-    for b, e in zip(begin[long].tolist(), ends[long].tolist()):
-        d = int(w.doc[b])
-        found += [(d, b + k - n, b + k, items) for k, n, items in stream(a, at[b:e].tolist())]
+    for a in automata if len(h) else ():
+        if not len(a.vocabulary):
+            continue
+        at = np.minimum(np.searchsorted(a.vocabulary, h), len(a.vocabulary) - 1)
+        known = a.vocabulary[at] == h
+        joined = np.zeros(len(h), bool)  # joined[i]: words i-1 and i are neighbours in an item too
+        both = np.flatnonzero(known[1:] & known[:-1] & (w.doc[1:] == w.doc[:-1])) + 1
+        if len(a.pairs) and len(both):
+            code = at[both - 1] * len(a.vocabulary) + at[both]
+            place = np.minimum(np.searchsorted(a.pairs, code), len(a.pairs) - 1)
+            joined[both] = a.pairs[place] == code
+        begin = np.flatnonzero(known & ~joined)
+        ends = np.flatnonzero(known & ~np.append(joined[1:], False)) + 1
+        long = ends - begin >= a.least
+        for b, e in zip(begin[long].tolist(), ends[long].tolist()):
+            d = int(w.doc[b])
+            found += [(d, b + k - n, b + k, items) for k, n, items in stream(a, at[b:e].tolist())]
     return w, found
 
 
-def _blocks(benchmark: DataFrame, block_words: int):
-    """Lists of (item_id, words) of a bounded number of words, one at a time on the driver."""
+def _blocks(benchmark: DataFrame, block_words: int, window: int):
+    """Lists of (item_id, words) of a bounded number of words, one at a time on the driver. A longer item is cut
+    into parts that share window - 1 words, which hold all its windows."""
     block, n = [], 0
     for row in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").orderBy("item_id").toLocalIterator():
         words = normalise(row["text"])
-        if words:
-            block.append((row["item_id"], words))
-            n += len(words)
-        if n >= block_words:
-            yield block
-            block, n = [], 0
+        for at in range(0, max(len(words) - window + 1, 1), max(block_words, 1)):
+            part = words[at : at + block_words + window - 1]
+            if part:
+                block.append((row["item_id"], part))
+                n += len(part)
+            if n >= block_words:
+                yield block
+                block, n = [], 0
     if block:
         yield block
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), block_words: int = BLOCK_WORDS, cut=None) -> DataFrame:
+def _passes(benchmark: DataFrame, block_words: int, window: int, most: int):
+    """Lists of automata of bounded bytes. There is one at least, which may be empty."""
+    held, n = [], 0
+    for block in _blocks(benchmark, block_words, window):
+        a = build(block, window)
+        if held and n + a.bytes() > most:
+            yield held
+            held, n = [], 0
+        held.append(a)
+        n += a.bytes()
+    yield held or [build([], window)]
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), block_words: int = BLOCK_WORDS, pass_bytes: int = PASS_BYTES, cut=None) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``n_words``, ``n_hit``, ``hits`` (a bit for each word, packed), the
     distinct ``items`` with windows in it, and the columns in ``keep``.
 
     A null text has no words; null items and items without an id take no part; items that share an id
     are one item; rows that repeat are judged each for themselves; without items nothing is hit.
-    ``cut`` (text, hit bits) gives the text that takes the text's place, or None for a row that goes.
+    ``cut`` (text, hit bits) gives the text that takes the text's place, or None for a row that goes. Texts are
+    streamed whole; one longer than a batch is a batch of its own, and takes some 30 bytes of memory for each byte.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -199,17 +249,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: t
     fields = [f for f in out.schema if f.name in ("doc_id", *columns)]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["`_n` long", "`_hit` long", "`_hits` binary", "`_items` array<long>"])
 
-    def one(df: DataFrame, block, first: bool, last: bool) -> DataFrame:
-        shared = spark.sparkContext.broadcast(build(block, window))  # bounded by block_words
+    def one(df: DataFrame, automata, first: bool, last: bool) -> DataFrame:
+        shared = spark.sparkContext.broadcast(automata)  # bounded by pass_bytes
 
         def run(batches):
-            a = shared.value
             for batch in batches:
                 n, bits, count, items, stays = [], [], [], [], []
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist() if cut and last else None
                 old = None if first else (batch.column("_hits").to_pylist(), batch.column("_items").to_pylist())
                 for lo, hi, buf, off in text_pieces(batch):
-                    w, found = find(a, buf, off)
+                    w, found = find(shared.value, buf, off)
                     hit, held = np.zeros(len(w.start) + 1, np.int32), {}
                     for d, b, e, its in found:
                         hit[b] += 1
@@ -235,12 +284,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: t
 
         return df.mapInArrow(run, schema)
 
-    blocks, first = _blocks(benchmark, block_words), True
-    block = next(blocks, [])
-    while block is not None:
-        following = next(blocks, None)
-        out = one(out if first else stored(out, "decontam"), block, first, following is None)
-        block, first = following, False
+    passes, first = _passes(benchmark, block_words, window, pass_bytes), True
+    automata = next(passes)
+    while automata is not None:
+        following = next(passes, None)
+        out = one(out if first else stored(out, "decontam"), automata, first, following is None)
+        automata, first = following, False
     return out.select("doc_id", *[c for c in columns if c in keep and c != "doc_id"], F.col("_n").alias("n_words"), F.col("_hit").alias("n_hit"), F.col("_hits").alias("hits"), F.col("_items").alias("items"))
 
 

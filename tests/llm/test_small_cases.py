@@ -149,7 +149,7 @@ def test_decontamination(spark, docs, block):
     words = decontam.normalise(rows[20][1]) + decontam.normalise(rows[25][1])
     items = [(1, " ".join(words[:12]).upper()), (2, " ".join(words[4:30])), (3, "one"), (4, "one two three"), (5, None), (None, "one"), (6, ""), (7, " ".join(words[:12])), (1, "zeta eta theta"), (8, "the the the the the the the the the the"), (9, "two three four five"), (10, mirror_words(10)[0])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.matches(docs, bench, keep=("n",), block_words=block)
+    got = decontam.matches(docs, bench, keep=("n",), block_words=block, pass_bytes=block)
     assert bag((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got.collect()) == bag(brute_windows(rows, items))
     assert decontam.matches(docs, bench.where("false")).agg(F.sum("n_hit")).first()[0] == 0
 
@@ -161,7 +161,7 @@ def test_automaton_against_brute_force():
         a = decontam.build(items, 4)
         text = [r.choice("abcd") for _ in range(60)]
         raw = " ".join(text).encode()
-        _, found = decontam.find(a, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        _, found = decontam.find([a], np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
         got = {(b, e, i) for _, b, e, its in found for i in its}
         want = set()
         for i, w in items:
@@ -171,6 +171,13 @@ def test_automaton_against_brute_force():
         assert got == want
 
 
+def test_automata_have_bounded_bytes():
+    """A packed automaton takes some hundred bytes a word, whatever the words are."""
+    r = random.Random(1)
+    a = decontam.build([(i, [f"w{r.randrange(10**6)}" for _ in range(100)]) for i in range(100)])
+    assert a.bytes() < 150 * 10_000
+
+
 def test_spans_are_cut(spark):
     passage = " ".join(f"w{i}" for i in range(12))
     docs = spark.createDataFrame([(1, "before it " + passage.upper() + ". After it, " + " ".join(f"x{i}" for i in range(20))), (2, passage), (3, "clean Text"), (4, None)], "doc_id long, text string")
