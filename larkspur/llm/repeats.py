@@ -1,11 +1,16 @@
-"""Removal of long repeats with prefix-partitioned suffix trees over words.
+"""Removal of long repeats by prefix-partitioned suffix groups, cut at the window's depth.
 
-The suffixes of all texts are dealt to groups by variable-length prefixes: one word where few
-suffixes begin with it, two where one word is too frequent, and a hash of the whole window where
-even two words are; counts from a first pass over the corpus decide, so that every group fits in memory.
-A group's tree only matters down to the window's depth: the inner nodes there are the repeats, and
-their leaves the places. They are found by sorting the fingerprints of the windows' word sequences.
-Every leaf but the earliest is marked, and the marked windows' words are removed.
+The suffixes of all texts that have a window's words left are dealt to groups by variable-length
+prefixes of 1, 2, 4, 8, 16 words and at last the whole window: counts of a first pass over the corpus say which
+is the shortest prefix that few enough suffixes share, so that every group fits in memory. Nodes deeper than
+the window aren't built, since they remove no further word: every window of a deeper repeat is a node at
+the window's depth itself. A group finds these nodes by sorting the suffixes on the fingerprint of their path,
+the window's words; a node's leaves are its places. Every leaf but the earliest is marked, and the
+marked windows' words are removed.
+
+This is less than a suffix tree: suffixes carry a fingerprint in place of their words, so a group knows no node above or
+below the window's depth, and reports no maximal repeats but the runs of marked windows (``repeat_spans``).
+README says what the words would cost.
 
 Equal windows within one task are settled there, so that however often one passage repeats, a
 task sends it once. Windows travel as packed arrays, a row for each task and group.
@@ -29,81 +34,97 @@ WINDOW = 20
 TASK_WINDOWS, GROUP_WINDOWS = 1_500_000, 1_000_000
 #: Marks of a row that a task has settled itself.
 ROW_MARKS = 100_000
-#: Prefixes are counted in so many slots: 2**12 for one word, split in 2**4 each by the second.
-ONE, TWO = 12, 4
+#: Prefixes of each length are counted in so many bins.
+BINS = 1 << 16
 NULL_ID = -(1 << 63)
 
 
-def _slots(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    one = h[at] & X.U((1 << ONE) - 1)
-    two = (h[at + 1] >> X.U(40)) & X.U((1 << TWO) - 1)
-    return ((one << X.U(TWO)) | two).astype(np.int64)
+def lengths(window: int) -> list[int]:
+    """Of the prefixes, the last one the window itself."""
+    return [1 << k for k in range(window.bit_length()) if 1 << k < window] + [window]
 
 
-def _windows(w: X.Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the windows that lie in one text, and their fingerprints."""
+def _windows(w: X.Words, h: np.ndarray, window: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """First words of the windows that lie in one text, and the hashes of their prefixes of each length."""
     if len(h) < window:
-        return np.zeros(0, np.int64), np.zeros(0, X.U)
-    inside = w.doc[window - 1 :] == w.doc[: len(h) - window + 1]
-    at = np.flatnonzero(inside)
-    return at, X.hash_ngrams(h, window)[at]
+        return np.zeros(0, np.int64), [np.zeros(0, X.U)] * len(lengths(window))
+    at = np.flatnonzero(w.doc[window - 1 :] == w.doc[: len(h) - window + 1])
+    powers = X.doubled(h, window)
+    return at, [*[powers[k][at] for k in lengths(window)[:-1]], X.hash_ngrams(h, window, powers)[at]]
+
+
+def _bins(h: np.ndarray) -> np.ndarray:
+    return (X.mix(h) & X.U(BINS - 1)).astype(np.int64)
 
 
 def count_prefixes(docs: DataFrame, window: int) -> np.ndarray:
-    """How many windows begin in each slot. Tasks sum their own; sums of sums come to the driver."""
+    """How many windows begin with a prefix of each bin, for each length. Tasks sum their own; sums of sums come to the driver."""
+    shape = (len(lengths(window)), BINS)
 
     def count(batches):
-        total = np.zeros(1 << (ONE + TWO), np.int64)
+        total = np.zeros(shape, np.int64)
         for batch in batches:
             for _, _, buf, off in text_pieces(batch):
                 w = X.find_words(buf, off, X.NOT_SPACE)
-                h = X.hash_words(buf, w)
-                at, _ = _windows(w, h, window)
+                at, prefixes = _windows(w, X.hash_words(buf, w), window)
                 if len(at):
-                    total += np.bincount(_slots(h, at), minlength=len(total))
+                    for row, h in zip(total, prefixes):
+                        row += np.bincount(_bins(h), minlength=BINS)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
 
     def add(batches):
-        total = np.zeros(1 << (ONE + TWO), np.int64)
+        total = np.zeros(shape, np.int64)
         for batch in batches:
             for raw in batch.column(0):
-                total += np.frombuffer(raw.as_buffer(), np.int64)
+                total += np.frombuffer(raw.as_buffer(), np.int64).reshape(shape)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
 
     sums = docs.select("text").mapInArrow(count, "counts binary")
     parts = max(1, int(sums.rdd.getNumPartitions() ** 0.5))
-    out = np.zeros(1 << (ONE + TWO), np.int64)
+    out = np.zeros(shape, np.int64)
     for row in sums.repartition(parts).mapInArrow(add, "counts binary").toLocalIterator():
-        out += np.frombuffer(row["counts"], np.int64)
+        out += np.frombuffer(row["counts"], np.int64).reshape(shape)
     return out
 
 
-def plan_groups(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """First group and number of groups of each slot. Neighbouring light prefixes share a group."""
-    base, parts = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
-    group, filled = 0, 0
-
-    def put(a: int, b: int, n: int) -> None:
-        nonlocal group, filled
-        if filled and filled + n > most:
-            group, filled = group + 1, 0
-        base[a:b] = group
-        filled += n
-
-    for one, n in enumerate(counts.reshape(-1, 1 << TWO).sum(1).tolist()):
-        a, b = one << TWO, (one + 1) << TWO
-        if n <= most:
-            put(a, b, n)
-            continue
-        for slot in range(a, b):
-            m = int(counts[slot])
-            if m <= most:
-                put(slot, slot + 1, m)
-            else:
-                group, filled = group + bool(filled), 0
-                base[slot], parts[slot] = group, -(-m // most)
-                group += int(parts[slot])
-    return base, parts
+def plan_groups(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each length and bin the first group, or -1 where a longer prefix decides, and the number of groups; and all groups.
+
+    A bin's count holds windows that a shorter prefix has placed already, so it is an upper bound; for sharing a group
+    among neighbouring light bins it is taken by the share of windows that are left. Only a window can be its
+    own longest prefix: bins of whole windows that are too full are split by the window's fingerprint.
+    """
+    base, parts = np.full(counts.shape, -1, np.int64), np.ones(counts.shape, np.int64)
+    group, left, total = 0, 1.0, max(int(counts[0].sum()), 1)
+    for k, row in enumerate(counts):
+        last = k == len(counts) - 1
+        light = row <= most
+        fill = np.where(light, row, 0) * left
+        base[k] = np.where(light, group + np.floor(np.cumsum(fill) / most).astype(np.int64), -1)
+        group = int(base[k].max(initial=group - 1)) + 1
+        if last and not light.all():
+            heavy = np.flatnonzero(~light)
+            parts[k, heavy] = -(-row[heavy] // most)
+            base[k, heavy] = group + np.cumsum(parts[k, heavy]) - parts[k, heavy]
+            group += int(parts[k, heavy].sum())
+        left *= min(1.0, float(row[~light].sum()) / total)
+    return base, parts, group
+
+
+def place(plan: tuple[np.ndarray, np.ndarray], prefixes: list[np.ndarray]) -> np.ndarray:
+    """The group of each window: by its shortest prefix that few enough windows share."""
+    base, parts = plan
+    out = np.full(len(prefixes[0]), -1, np.int64)
+    for k, h in enumerate(prefixes):
+        open_ = np.flatnonzero(out < 0)
+        if not len(open_):
+            break
+        at = _bins(h[open_])
+        found = base[k][at]
+        if k == len(prefixes) - 1:
+            found = found + (h[open_] % parts[k][at].astype(X.U)).astype(np.int64)
+        out[open_] = found
+    return out
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -174,26 +195,24 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     counts = count_prefixes(docs, window)
-    most = int(min(max(counts.sum() // (4 * spark.sparkContext.defaultParallelism), 100_000), GROUP_WINDOWS))
-    base, parts = plan_groups(counts, most)
-    plan = spark.sparkContext.broadcast((base, parts))  # two numbers for each slot
-    shares = max(4 * spark.sparkContext.defaultParallelism, int((base + parts).max()) // 2)
+    most = int(min(max(counts[0].sum() // (4 * spark.sparkContext.defaultParallelism), 100_000), GROUP_WINDOWS))
+    base, parts, groups = plan_groups(counts, most)
+    plan = spark.sparkContext.broadcast((base, parts))  # two numbers for each length and bin
+    shares = max(4 * spark.sparkContext.defaultParallelism, groups // 2)
 
     def run(batches):
-        base, parts = plan.value
         held, n, turn = [], 0, 0
 
         def flush():
             nonlocal held, n, turn
-            h, d, s, slot = (np.concatenate(x) for x in zip(*held))
+            h, d, s, group = (np.concatenate(x) for x in zip(*held))
             held, n = [], 0
             first, later = settle(h, d, s)
             marked = np.flatnonzero(later)
             for a in range(0, len(marked), ROW_MARKS):
                 turn += 1
                 yield -turn, pack(d[marked[a : a + ROW_MARKS]], s[marked[a : a + ROW_MARKS]])
-            h, d, s, slot = h[first], d[first], s[first], slot[first]
-            group = base[slot] + (h % parts[slot].astype(X.U)).astype(np.int64)
+            h, d, s, group = h[first], d[first], s[first], group[first]
             order = np.argsort(group.astype(np.uint16) if len(group) and group.max() < 1 << 16 else group, kind="stable")
             sorted_ = group[order]
             cut = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
@@ -209,11 +228,10 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             ids = batch.column(0).fill_null(NULL_ID).to_numpy()
             for a, b, buf, off in text_pieces(batch):
                 w = X.find_words(buf, off, X.NOT_SPACE)
-                h = X.hash_words(buf, w)
-                at, g = _windows(w, h, window)
+                at, prefixes = _windows(w, X.hash_words(buf, w), window)
                 if len(at):
                     doc = w.doc[at]
-                    held.append((g, ids[a:b][doc], (at - w.first[doc]).astype(np.int32), _slots(h, at)))
+                    held.append((prefixes[-1], ids[a:b][doc], (at - w.first[doc]).astype(np.int32), place(plan.value, prefixes).astype(np.int32)))
                     n += len(at)
                 if n >= TASK_WINDOWS:
                     yield from batch_of(flush())
@@ -242,6 +260,24 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return marked.groupBy("share").applyInArrow(leanly(gather), MARKS)
 
 
+def repeat_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, start, end): the runs of words that a marked window covers, in words from 0, end exclusive."""
+
+    def run(batches):
+        for batch in batches:
+            out = [[], [], []]
+            for d, raw in zip(batch.column("doc_id").to_pylist(), batch.column("starts").to_pylist()):
+                s = np.unique(np.frombuffer(raw, "<u4")).astype(np.int64)
+                new = np.concatenate([[True], s[1:] > s[:-1] + window])
+                begin = s[new]
+                end = np.append(s[:-1][new[1:]], s[-1]) + window
+                for c, v in zip(out, ([None if d == NULL_ID else d] * len(begin), begin.tolist(), end.tolist())):
+                    c += v
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "end"])
+
+    return mark_repeats(docs, window).mapInArrow(run, "doc_id long, start long, end long")
+
+
 def _clean(text: bytes, starts: bytes, window: int) -> tuple[bytes, int]:
     words = text.split()
     edge = np.zeros(len(words) + window + 1, np.int64)
@@ -257,7 +293,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, and the kept ``text`` if asked for.
 
     A null text has no words. Rows with one doc_id are judged as one document: a place that is removed
-    in one of them is removed in all, and an equal window at an equal place is not an earlier one.
+    in one of them is removed in all, and an equal window at an equal place is not an earlier one. Texts are
+    read whole; one longer than a batch is a batch of its own, and takes some 100 bytes of memory for each word.
     """
     spark = docs.sparkSession
     marks = stored(mark_repeats(docs, window), "marks")

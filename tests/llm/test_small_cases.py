@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.llm import textnum as X
 from larkspur.llm import bpe, common, decontam, graph, jaccard, lm, repeats, secrets, sharding, topk, toxicity, warc
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -635,15 +636,33 @@ def test_repeats(spark, docs, empty, monkeypatch, chunk):
 
 
 def test_group_plan():
-    counts = np.random.default_rng(0).integers(0, 50, 1 << 16)
-    counts[:16] = 5000
-    counts[16] = 100_000
-    base, parts = repeats.plan_groups(counts, 1000)
-    load = collections.Counter()
-    for b, p, n in zip(base.tolist(), parts.tolist(), counts.tolist()):
-        for k in range(p):
-            load[b + k] += n / p
-    assert max(load.values()) <= 1000
+    """Frequent prefixes go on to longer ones; groups stay small; only whole windows are split by themselves."""
+    r = random.Random(0)
+    words = [r.choice("the of and".split()) if r.random() < 0.5 else f"w{r.randrange(300)}" for _ in range(30_000)]
+    words[5000:5000] = (["hot"] * 9 + ["x"]) * 400
+    raw = " ".join(words).encode()
+    buf = np.frombuffer(raw, np.uint8)
+    w = X.find_words(buf, np.array([0, len(buf)]), X.NOT_SPACE)
+    at, prefixes = repeats._windows(w, X.hash_words(buf, w), 20)
+    counts = np.array([np.bincount(repeats._bins(h), minlength=repeats.BINS) for h in prefixes])
+    base, parts, groups = repeats.plan_groups(counts, 1000)
+    group = repeats.place((base, parts), prefixes)
+    assert 0 <= group.min() and group.max() < groups
+    by = collections.defaultdict(set)
+    for g, i in zip(group.tolist(), at.tolist()):
+        by[tuple(words[i : i + 20])].add(g)
+    assert all(len(g) == 1 for g in by.values())  # equal windows meet
+    size = collections.Counter(g for x in by.values() for g in x)  # a task settles equal windows before it sends them
+    assert max(size.values()) <= 2000 and len(size) > 20
+    alone = [g for g, k in collections.Counter(g for x in by.values() for g in x).items() if k > 1]
+    short = sum(len({words[i] for i in at[group == g].tolist()}) == 1 for g in alone)
+    assert 0 < short < len(alone)  # some groups hold one first word alone, others several
+
+
+def test_repeat_spans(spark):
+    rows = [(1, " ".join(f"a{i}" for i in range(60))), (2, "x y " + " ".join(f"a{i}" for i in range(10, 50)) + " z"), (3, "q " + " ".join(f"a{i}" for i in range(25)) + " r " + " ".join(f"a{i}" for i in range(30, 60))), (4, "short"), (None, None)]
+    got = repeats.repeat_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert sorted(map(tuple, got.collect())) == [(2, 2, 42), (3, 1, 26), (3, 27, 57)]
 
 
 # --- 10
