@@ -689,6 +689,98 @@ def test_language_model_learns(spark):
     assert got[0] > got[1] * 0.97
 
 
+@pytest.fixture(scope="module")
+def language(spark):
+    """A small trained model, its words by hash, and the texts it learned from."""
+    r = random.Random(13)
+    words = [f"{a}{b}" for a in "bcdfgklm" for b in ("a", "ing", "er", "um")]
+    rows = [(i, " ".join(words[(j * j + i) % len(words)] if r.random() < 0.6 else r.choice(words) for j in range(r.randrange(1, 60)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lm.bounded_batches(spark)
+    train = df.where(~lm.held_out(F.col("doc_id"), 7, 2)).select("text")
+    m, table, inner, _ = lm.train_model(train, lm.count_words(train, 4), shards=4)
+    return df, rows, [*words, None], m, table, inner
+
+
+def tokens_of(text):
+    buf = np.frombuffer(text.encode(), np.uint8)
+    return lm.tokenise(buf, np.array([0, len(buf)]))
+
+
+def plain_score(m, table, inner, word, before, farther):
+    """log10 P(word | before, farther) one number at a time; None is the end, and before the first word stands False."""
+    def number(w):
+        h = int(lm.END) if w is None else int(tokens_of(w).h[0])
+        found = np.flatnonzero(table.hashes == np.uint64(h))
+        return int(found[0]) if len(found) else -1
+
+    def unit(w):
+        t = tokens_of(w or "")
+        return lm.UNITS if w is False else int(m.units.of(t.h[:1], t.ending[:1])[0])
+
+    k = int(m.cls[unit(word)])
+    rows = [int(x[0]) for x in lm.feature_rows(np.array([unit(before)]), np.array([unit(farther)]), m.cls)]
+    z = [float(m.bias[c]) + sum(float(m.weights[r, c]) for r in rows) for c in range(lm.CLASSES)]
+    out = z[k] - math.log(sum(math.exp(x) for x in z))
+    own = number(word)
+    share = ((int(table.counts[own]) if own >= 0 else 0) + 1) / 10 ** float(m.mass[k])
+    first = len(table.hashes) if before is False else number(before)
+    held = {key & 0xFFFFFFFF: float(w) for key, w in zip(inner.keys.tolist(), inner.weights.tolist()) if key >> 32 == first}
+    cls = m.cls[m.units.of(table.hashes, table.endings.astype(np.int64))]
+    norm = 1 + sum((int(table.counts[i]) + 1) / 10 ** float(m.mass[k]) * (math.exp(w) - 1) for i, w in held.items() if cls[i] == k)
+    return (out + math.log(share) + held.get(own, 0.0) - math.log(norm)) / math.log(10)
+
+
+def test_language_model_probabilities_sum_to_one(language):
+    _, _, words, m, table, inner = language
+    assert len(inner.keys) > 50 and len(table.hashes) == len(words)
+    for before, farther in ((False, False), ("ba", False), ("cing", "ba"), ("lum", "mer")):
+        known = sum(10 ** plain_score(m, table, inner, w, before, farther) for w in words)
+        unknown = 0.0  # each class has one place for words that the training part doesn't hold
+        seen = set()
+        for i in range(3000):
+            w = f"q{i}x"
+            t = tokens_of(w)
+            k = int(m.cls[m.units.of(t.h[:1], t.ending[:1])[0]])
+            if k not in seen:
+                seen.add(k)
+                unknown += 10 ** plain_score(m, table, inner, w, before, farther)
+        rest = set(range(lm.CLASSES)) - seen
+        assert known + unknown <= 1 + 1e-4 and (rest or known + unknown >= 1 - 1e-4)
+        assert known > 0.5
+
+
+def test_language_model_equals_plain_python(language):
+    df, rows, _, m, table, inner = language
+    for _, text in rows[:20]:
+        t = tokens_of(text + " unseen ba")
+        own, _, rest = lm.token_scores(m, table, inner, t)
+        words = [*text.split(), "unseen", "ba", None]
+        want = [plain_score(m, table, inner, w, words[i - 1] if i else False, words[i - 2] if i > 1 else False) for i, w in enumerate(words)]
+        assert np.allclose(own + rest, want, atol=1e-4)
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(df).collect()}
+    assert got.keys() == dict(rows).keys() and all(math.isfinite(x) and x < 0 for x in got.values())
+
+
+def test_pair_weights_meet_their_counts():
+    """At the end of the gradient rounds the model expects what was counted, less the discount."""
+    g = np.random.default_rng(3)
+    cls = g.integers(0, 3, 40)
+    share = np.array([0.9 / (cls == c).sum() for c in cls])
+    keys = np.unique((g.integers(0, 5, 300) << 32) | g.integers(0, 40, 300))
+    keys = np.sort(np.concatenate([keys, (np.arange(5) << 32) | lm.OTHER + 1]))
+    counts = g.integers(1, 30, len(keys))
+    k, w, contexts, norms = lm.fit_shard(keys, counts, cls, share, 2)
+    inner = lm.Pairs(k, w, contexts, norms)
+    count = dict(zip(keys.tolist(), counts.tolist()))
+    for key in k.tolist():
+        u, word = key >> 32, key & 0xFFFFFFFF
+        c = int(cls[word])
+        total = sum(n for x, n in count.items() if x >> 32 == u and (x & 0xFFFFFFFF == lm.OTHER + c or x & 0xFFFFFFFF < lm.OTHER and cls[x & 0xFFFFFFFF] == c))
+        p = share[word] * 10 ** inner.gain(np.array([u]), np.array([word]), np.array([c]))[0]
+        assert abs(total * p - (count[key] - lm.DISCOUNT)) < 0.02 * count[key]
+
+
 def test_class_probabilities_sum_to_one():
     g = np.random.default_rng(0)
     m = lm.Model(None, None, g.normal(size=(lm.FEATURES, lm.CLASSES)).astype(np.float32), g.normal(size=lm.CLASSES).astype(np.float32), None, 0, 0)
