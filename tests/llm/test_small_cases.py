@@ -698,7 +698,7 @@ def language(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     lm.bounded_batches(spark)
     train = df.where(~lm.held_out(F.col("doc_id"), 7, 2)).select("text")
-    m, table, inner, _ = lm.train_model(train, lm.count_words(train, 4), shards=4)
+    m, table, inner, _ = lm.train_model(train, lm.count_words(train, 4))
     return df, rows, [*words, None], m, table, inner
 
 
