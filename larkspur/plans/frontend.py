@@ -100,48 +100,67 @@ class Frontend:
         new = new.toDF(*names)
         full = new.select(*[(F.col(f.name) if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema])
         n = full.count()
-        self.catalog.replace(table.name, insert_rows(self.catalog.read(table.name), full))
+        old = self.catalog.read(table.name)
+        insert_rows(old, full)  # the types must be the table's own
+        self.catalog.check(table.name, full, old)
+        if n:
+            self.catalog.append(table.name, full)
         return Result(f"INSERT {n}")
 
     def update(self, s: str) -> Result:
         m = _match(rf"UPDATE (?P<t>{NAME}) SET (?P<a>.*?)(?: WHERE (?P<w>.*))?", s)
         if not m:
             raise CatalogError("UPDATE needs a table and SET")
-        pairs = [re.fullmatch(rf"({NAME})\s*=\s*(.+)", p, re.S) for p in split_list(m["a"])]
+        pairs = [re.fullmatch(rf"(?:{m['t']}\s*\.\s*)?({NAME})\s*=\s*(.+)", p, re.S) for p in split_list(m["a"])]
         if not all(pairs):
             raise CatalogError("SET needs column = expression")
-        old = self.catalog.read(m["t"])
         where = F.expr(m["w"]) if m["w"] else F.lit(True)
-        n = old.filter(where).count()
+        assign = {p[1]: F.expr(p[2]) for p in pairs}
+        change = lambda df: update_rows(df.alias(m["t"]), assign, where)
         try:
-            new = update_rows(old, {p[1]: F.expr(p[2]) for p in pairs}, where)
+            new = change(self.catalog.read(m["t"]))
         except (TypeError, ValueError) as e:
             raise CatalogError(str(e)) from None
-        self.catalog.replace(m["t"], new)
+        table = self.catalog.table(m["t"])
+        if any(c in assign for c in [*table.not_null, *(c for k in table.keys for c in k)]):
+            self.catalog.check(m["t"], new)
+        n, files, keep = self.catalog.touched(m["t"], where)
+        if n:
+            self.catalog.rewrite(m["t"], files, keep, change)
         return Result(f"UPDATE {n}")
 
     def delete(self, s: str) -> Result:
         m = _match(rf"DELETE FROM (?P<t>{NAME})(?: WHERE (?P<w>.*))?", s)
         if not m:
             raise CatalogError("DELETE needs a table")
-        old = self.catalog.read(m["t"])
         where = F.expr(m["w"]) if m["w"] else F.lit(True)
-        n = old.filter(where).count()
-        self.catalog.replace(m["t"], delete_rows(old, where))
+        self.catalog.table(m["t"])
+        n, files, keep = self.catalog.touched(m["t"], where)
+        if n:
+            self.catalog.rewrite(m["t"], files, keep, lambda df: delete_rows(df.alias(m["t"]), where))
         return Result(f"DELETE {n}")
 
     def create(self, s: str) -> Result:
         if m := _match(rf"CREATE TABLE (?P<i>IF NOT EXISTS )?(?P<t>{NAME})~\((?P<c>.*)\)", s):
-            fields = []
+            fields, not_null, keys = [], set(), []
             for part in split_list(m["c"]):
-                words = re.fullmatch(rf"({NAME})\s+([A-Za-z]\w*)(?:\s*\(\d+\))?(?:\s.*)?", part, re.S)
-                if not words or words[1].upper() in ("PRIMARY", "UNIQUE", "CONSTRAINT", "CHECK", "FOREIGN"):
-                    continue  # constraints are read and not kept
+                if whole := _match(r"(?P<k>PRIMARY KEY|UNIQUE)~\((?P<c>[^()]*)\)", part):
+                    keys.append(tuple(c.strip() for c in whole["c"].split(",")))
+                    not_null |= set(keys[-1]) if whole["k"].upper().startswith("P") else set()
+                    continue
+                words = re.fullmatch(rf"({NAME})\s+([A-Za-z]\w*)(?:\s*\(\d+\))?((?:\s+(?:PRIMARY\s+KEY|NOT\s+NULL|UNIQUE|NULL))*)", part, re.S | re.I)
+                if not words or words[1].upper() in ("CONSTRAINT", "CHECK", "FOREIGN"):
+                    raise CatalogError(f"unsupported column or constraint: {part}")
+                said = " ".join(words[3].upper().split())
+                if "PRIMARY KEY" in said or "UNIQUE" in said:
+                    keys.append((words[1],))
+                if "PRIMARY KEY" in said or "NOT NULL" in said:
+                    not_null.add(words[1])
                 kind = SPELLINGS.get(words[2].upper(), words[2].upper())
                 if kind not in TYPES:
                     raise CatalogError(f"unsupported type {words[2]}")
                 fields.append(T.StructField(words[1], TYPES[kind]))
-            self.catalog.create_table(m["t"], T.StructType(fields), bool(m["i"]))
+            self.catalog.create_table(m["t"], T.StructType(fields), bool(m["i"]), frozenset(not_null), tuple(keys))
             return Result(f"CREATE TABLE {m['t']}")
         if m := _match(rf"CREATE INDEX (?P<i>IF NOT EXISTS )?(?P<n>{NAME}) ON (?P<t>{NAME})~\((?P<c>[^()]*)\)", s):
             self.catalog.create_index(m["n"], m["t"], tuple(c.strip() for c in m["c"].split(",")), bool(m["i"]))

@@ -284,6 +284,9 @@ _window("window_min_max", "", ["user_id"], ["ts", "event_id"], "MIN(v) OVER AS l
 _window("window_rank", "", ["user_id"], ["v"], "RANK() OVER AS r", r="rank:")
 _window("window_multi", "", ["user_id"], ["v"], "CAST(SUM(v) OVER AS BIGINT) AS s, COUNT(v) OVER AS n, AVG(v) OVER AS m, RANK() OVER AS r", s="sum:v", n="count:v", m="avg:v", r="rank:")
 
+_window("window_global_running", "", [], ["v"], "CAST(SUM(v) OVER AS BIGINT) AS s, COUNT(*) OVER AS n, AVG(v) OVER AS m, MIN(event_id) OVER AS low, MAX(event_id) OVER AS high, RANK() OVER AS r", s="sum:v", n="count:*", m="avg:v", low="min:event_id", high="max:event_id", r="rank:")
+_window("window_global_total", "", [], [], "CAST(SUM(v) OVER AS BIGINT) AS s, COUNT(v) OVER AS n, AVG(v) OVER AS m, MIN(v) OVER AS low, MAX(v) OVER AS high", s="sum:v", n="count:v", m="avg:v", low="min:v", high="max:v")
+
 @query("SELECT event_id, CAST(SUM(event_id % 97) OVER (ORDER BY ts, event_id) AS BIGINT) AS s FROM events", "events")
 def window_global(e):
     e = e.withColumn("v", F.pmod(c("event_id"), lit(97)))
@@ -321,7 +324,7 @@ def _ddl(name: str, script: str, last: str, sql: str) -> None:
 
     QUERIES[name], SQL[name] = run, sql
 
-_USERS = "CREATE TABLE IF NOT EXISTS users_x (id INT PRIMARY KEY, age INT); INSERT INTO users_x VALUES (1, 25), (2, 50), (2, NULL);"
+_USERS = "CREATE TABLE IF NOT EXISTS users_x (id INT, age INT); INSERT INTO users_x VALUES (1, 25), (2, 50), (2, NULL);"
 _ddl("create_table", _USERS.replace("users_x", "users_a"), "SELECT id, age FROM users_a", "SELECT * FROM (VALUES (1, 25), (2, 50), (2, NULL)) AS t(id, age)")
 _ddl("drop_table", _USERS.replace("users_x", "users_b") + "DROP TABLE users_b; CREATE TABLE users_b (id INT, ok BOOL)", "SELECT id, ok FROM users_b", "SELECT 1 AS id, TRUE AS ok WHERE FALSE")
 _ddl("create_index", _USERS.replace("users_x", "users_c") + "CREATE INDEX by_age ON users_c (age, id); UPDATE users_c SET age = age + 1 WHERE id = 2", "SELECT id, age FROM users_c WHERE age >= 25", "SELECT * FROM (VALUES (1, 25), (2, 51)) AS t(id, age)")

@@ -161,3 +161,61 @@ def test_update_types_are_strict(front):
 def test_halloween_and_old_row(front):
     front.run("CREATE TABLE h (a INT, b INT); INSERT INTO h VALUES (1, 2), (3, 4); UPDATE h SET a = b, b = a; UPDATE h SET a = a + 100 WHERE a < 1000")
     assert rows(front.run("SELECT * FROM h")[0].rows) == [(102, 1), (104, 3)]
+
+
+def test_qualified_names_and_append(front):
+    front.run("CREATE TABLE t (a INT, b INT); INSERT INTO t VALUES (1, 1); INSERT INTO t VALUES (2, 2), (3, NULL)")
+    before = front.catalog.table("t").paths
+    assert len(before) == 2  # a second INSERT leaves the first one's folder alone
+    assert front.run("UPDATE t SET t.b = t.a + 10 WHERE t.a = 1")[0].tag == "UPDATE 1"
+    assert front.run("DELETE FROM t WHERE t.b IS NULL")[0].tag == "DELETE 1"
+    assert rows(front.run("SELECT t.a, t.b FROM t")[0].rows) == [(1, 11), (2, 2)]
+    assert front.run("UPDATE t SET a = 0 WHERE t.a > 99; DELETE FROM t WHERE a > 99")[-1].tag == "DELETE 0"
+
+
+def test_only_touched_files_are_rewritten(front):
+    front.run("CREATE TABLE f (a INT); INSERT INTO f VALUES (1); INSERT INTO f VALUES (2); INSERT INTO f VALUES (3)")
+    old = set(front.catalog.read("f").inputFiles())
+    front.run("UPDATE f SET a = 20 WHERE a = 2")
+    assert len(old & set(front.catalog.read("f").inputFiles())) == len(old) - 1
+    assert rows(front.run("SELECT a FROM f")[0].rows) == [(1,), (20,), (3,)]
+    assert front.catalog.vacuum("f") == 1 and rows(front.run("SELECT a FROM f")[0].rows) == [(1,), (20,), (3,)]
+
+
+def test_constraints_hold_or_raise(front):
+    front.run("CREATE TABLE k (id INT PRIMARY KEY, b INT NOT NULL, c INT UNIQUE, d INT); CREATE TABLE m (a INT, b INT, UNIQUE (a, b)); INSERT INTO k VALUES (1, 1, NULL, 1), (2, 1, NULL, 1); INSERT INTO m VALUES (1, 1), (1, 2), (1, NULL), (1, NULL)")
+    for bad in ("INSERT INTO k VALUES (1, 5, 5, 5)", "INSERT INTO k VALUES (3, 1, 7, 1), (3, 1, 8, 1)", "INSERT INTO k VALUES (NULL, 1, 1, 1)", "INSERT INTO k (id) VALUES (9)", "UPDATE k SET id = 7", "UPDATE k SET b = NULL WHERE id = 1", "INSERT INTO m VALUES (1, 2)", "CREATE TABLE x (a INT CHECK (a > 1))", "CREATE TABLE x (a INT DEFAULT 3)", "CREATE TABLE x (a INT, FOREIGN KEY (a) REFERENCES k (id))", "CREATE TABLE x (a INT, PRIMARY KEY (nope))"):
+        with pytest.raises(CatalogError):
+            front.run(bad)
+    front.run("UPDATE k SET id = id + 1, d = NULL; INSERT INTO k VALUES (1, 1, 5, NULL)")
+    assert rows(front.run("SELECT id FROM k")[0].rows) == [(1,), (2,), (3,)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_left_theta_join_is_not_broadcast(spark, kv, monkeypatch):
+    other = kv.select(F.col("k").alias("k2"), F.col("v").alias("v2"))
+    on = (F.col("v") < F.col("v2")) | (F.col("k2") == "zz")
+    want = rows(R.nested_loop_join(kv, other, on, "left"))
+    monkeypatch.setattr(R.small, "__defaults__", (0,))
+    got = R.nested_loop_join(kv, other, on, "left")
+    assert rows(got) == want and got.columns == ["k", "v", "k2", "v2"] and "BroadcastNestedLoop" not in plan_of(got)
+
+
+def test_large_hash_joins_may_spill(spark):
+    wide = spark.range(1 << 40).select(F.col("id").alias("a"), F.col("id").alias("x"))
+    huge = spark.range(1 << 40).select(F.col("id").alias("b"), F.col("id").alias("y"))
+    assert "SortMergeJoin" in plan_of(R.hash_join(wide, huge, [("a", "b")]))
+    assert "SortMergeJoin" in plan_of(R.index_join(wide, huge, "a", "b"))
+
+
+def test_global_windows_equal_windows(spark):
+    df = spark.range(300).select(F.when(F.col("id") % 11 > 0, F.col("id") % 37).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id") * 7 % 50).alias("v"))
+    what = dict(s="sum:v", n="count:v", a="count:*", m="avg:v", low="min:v", high="max:v", r="rank:")
+    for order in (["k"], ["k", "v"], []):
+        got = R.window_columns(df, [], order, **what)
+        want = R.window_columns(df.withColumn("one", F.lit(1)), ["one"], order, **what).drop("one")
+        assert rows(got.select(want.columns)) == rows(want)
+        assert "SinglePartition" not in plan_of(got).split("BroadcastExchange")[0] or not order
