@@ -28,7 +28,6 @@ def main() -> None:
         took[name] = round(best, 4)
     out = {"metric": "total_best_of_3", "value": round(sum(took.values()), 4), "unit": "sec", "queries": took, "sf": folder.rsplit("sf", 1)[-1]}
     if (there := find_spec("larkspur.llm")) and there.origin:  # one run each, apart from the total
-        spark.conf.set("spark.checkpoint.dir", spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir"))
         out["training_data_queries"] = {}
         for name, query in import_module("larkspur.llm.queries").QUERIES.items():
             t = time.perf_counter()
