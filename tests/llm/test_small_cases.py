@@ -788,6 +788,36 @@ def test_class_probabilities_sum_to_one():
     assert np.allclose((p / total[:, None]).sum(1), 1, atol=1e-5)
 
 
+# --- texts of megabytes
+
+def test_very_long_texts(spark):
+    """Texts longer than a piece (1 MB) and than a batch (4 MB) are read whole by every operator over texts."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(21)
+    words = [f"{r.choice('bdfgklmnprst')}{r.choice('aeiou')}{r.randrange(5000)}" for _ in range(640_000)]
+    one, two = words[:190_000], words[180_000:]
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join([*one[:-1], "AKIA" + "Q" * 20])), (4, "short text"), (5, None)]
+    rows[1] = (2, rows[1][1] + " " + "x" * 3_000_000)
+    assert len(rows[0][1]) > common.PIECE_BYTES and len(rows[1][1]) > common.BATCH_BYTES
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    items = [(1, " ".join(one[-12:-2])), (2, " ".join(two[-9:])), (3, "absent " * 9)]
+    got = decontam.matches(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert bag((x["doc_id"], x["n_words"], x["n_hit"], tuple(x["items"])) for x in got) == bag(brute_windows(rows, items))
+    assert bag(map(tuple, jaccard.near_components(df, links=True).select("doc_id", "component_id", "n_links").collect())) == bag([(1, 1, 1), (2, 2, 0), (3, 1, 1), (4, 4, 0), (5, 5, 0)])
+    base = secrets.scan(df).select("doc_id", secrets.joined(F.col("base"))).collect()
+    assert bag(map(tuple, base)) == bag((d, ",".join(f"{k}:{a}:{b}" for k, a, b in brute_secrets(t))) for d, t in rows)
+    t = Tokenizer.from_file(bpe.vocabulary())
+    ids = {d: t.encode(x or "", add_special_tokens=False).ids for d, x in rows if d != 2}
+    assert bag((x["doc_id"], x["n_tokens"]) for x in bpe.round_trips(df.where("doc_id <> 2"), bpe.vocabulary()).collect()) == bag((d, len(i)) for d, i in ids.items())
+    removed = {x["doc_id"]: (x["n_words"], x["n_removed"]) for x in repeats.remove_repeats(df).collect()}
+    assert removed == {1: (190_000, 0), 2: (460_001, 10_000), 3: (190_000, 189_999), 4: (2, 0), 5: (0, 0)}
+    scored = {x["doc_id"]: x["n_tokens"] for x in lm.score_documents(df).collect()}
+    assert scored == {1: 190_001, 2: 460_002, 3: 190_001, 4: 3, 5: 1}
+    lab = spark.createDataFrame([(1, 0), (4, 1)], "doc_id long, toxic int")
+    assert toxicity.score(df, toxicity.train(df, lab)).count() == 5
+
+
 # --- shared parts
 
 def test_bounded_pieces_cover_all():
