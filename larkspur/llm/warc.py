@@ -16,12 +16,13 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import bounded_batches, load, scratch, stored
+from larkspur.llm.common import bounded_batches, filter_bit, has_bit, key_filter, load, scratch, stored
 
 #: A writer starts the next archive beyond so many inflated bytes.
 ARCHIVE_BYTES = 64 << 20
@@ -143,14 +144,28 @@ def mark_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     page_id is the response. Payloads count as equal if SHA-256 and length are.
 
     Rows that repeat the largest page_id are all responses; a null page_id is a revisit of any that
-    isn't null. A digest that many pages share is summed before it is shuffled, and AQE splits its join.
+    isn't null. Digests are summed before they are shuffled. Only pages whose digest may be repeated are
+    joined, by a bitmap of the repeated ones; other payloads stay where they were read. AQE splits the join
+    where many pages share a digest.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("key"))
-    top = keyed.groupBy("key").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("_key"), "top")
-    joined = keyed.join(top, F.col("key") == F.col("_key"), "left").drop("key", "_key")
+    keyed = keyed.withColumn("_hash", F.xxhash64("key"))
+    repeated = keyed.groupBy("key", "_hash").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = stored(repeated.select(F.col("key").alias("_key"), "_hash", "top"), "repeated")
+    bitmap = key_filter(repeated, "_hash")
+    shared = pages.sparkSession.sparkContext.broadcast(bitmap)  # 16 MB at most
+
+    @F.pandas_udf("boolean")
+    def may_repeat(bit: pd.Series) -> pd.Series:
+        return pd.Series(has_bit(shared.value, bit.to_numpy()))
+
+    keyed = keyed.withColumn("_may", may_repeat(filter_bit(64 * len(bitmap), "_hash")))
+    names = ["page_id", "url", "payload"]
+    alone = keyed.where(~F.col("_may")).select(*names, F.lit(False).alias("revisit"), F.lit(None).cast(dict(pages.dtypes)["page_id"]).alias("refers_to"))
+    joined = keyed.where("_may").join(repeated.drop("_hash"), F.col("key") == F.col("_key"), "left")
     revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")) & (F.octet_length("payload") >= least)
-    return joined.withColumn("revisit", revisit).withColumn("refers_to", F.when(revisit, F.col("top"))).drop("top")
+    return alone.union(joined.select(*names, revisit.alias("revisit"), F.when(revisit, F.col("top")).alias("refers_to")))
 
 
 def write_monolithic(marked: DataFrame, folder: str) -> DataFrame:

@@ -374,6 +374,21 @@ def test_warc(spark, tmp_path):
     assert warc.archive(pages.where("false"), common.scratch(spark, "warc-test")).count() == 0
 
 
+@pytest.mark.parametrize("least", [0, 3])
+def test_warc_revisits_do_not_hang_on_the_bitmap(spark, monkeypatch, least):
+    rows = [(i, "u", f"page {i % 7}" if i < 40 else "é" * (i % 3) if i < 60 else f"own {i}") for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    top = {h: max(i for i, _, g in rows if g == h) for _, _, h in rows}
+    want = bag((i, len(h.encode()) >= least and i != top[h], top[h] if len(h.encode()) >= least and i != top[h] else None) for i, _, h in rows)
+
+    def got():
+        return bag((r["page_id"], r["revisit"], r["refers_to"]) for r in warc.mark_revisits(pages, least).collect())
+
+    assert got() == want
+    monkeypatch.setattr(warc, "key_filter", lambda *_: np.full(1 << 14, -1, np.int64).view(np.uint64))  # lets all pass
+    assert got() == want
+
+
 def test_inflate_truncated_and_concatenated():
     parts = [zlib.compress(b"a" * 5000, wbits=31), zlib.compress(b"b" * 10, wbits=31)]
     assert b"".join(warc.inflate(iter([parts[0] + parts[1]]))) == b"a" * 5000 + b"b" * 10
