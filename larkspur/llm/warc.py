@@ -148,6 +148,7 @@ def mark_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     joined, by a bitmap of the repeated ones; other payloads stay where they were read. AQE splits the join
     where many pages share a digest.
     """
+    bounded_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("key"))
     keyed = keyed.withColumn("_hash", F.xxhash64("key"))
