@@ -13,14 +13,15 @@ Everything is learned from the whole training part, in passes over the corpus:
 2. contexts of frequent words and of word endings, from which a k-means makes the classes;
 3. counts of all pairs of neighbouring words, exact, in shards of previous words. Each shard fits the weights of its
    pairs by gradient rounds, scaled as iterative scaling does, until they stop moving: their expected counts become the
-   observed ones less ``DISCOUNT``. Pairs seen ``LEAST_PAIR`` times or more are features, so the model grows with the
-   corpus; beyond ``PAIRS`` of them the most frequent are kept, as weights are broadcast;
+   observed ones less ``DISCOUNT``. Pairs seen ``LEAST_PAIR`` times or more are features, all of them, so the model grows
+   with the corpus. Of over ``PAIRS`` weights or normalisers the most frequent are broadcast, and the others stay in shards;
 4. feature counts given the class, and rounds of gradient updates: tasks send the observed and the
    expected feature counts, whose difference is the gradient; each round scales it per feature as
    iterative scaling does and moves the weights, and reports the log-likelihood before it. Equal histories of a
    task are worked out once.
 
-Words outside the table are scored through a join of packed requests with the shards of counts.
+Words outside the table are scored through a join of packed requests with the shards of counts, and weights that
+aren't broadcast through a join with theirs; a bitmap says which tokens have none there.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import textnum as X
-from larkspur.llm.common import bounded_batches, give_back, leanly, load, stored, text_pieces
+from larkspur.llm.common import bounded_batches, give_back, leanly, load, made, release, stored, text_pieces
 from larkspur.llm.repeats import _planes, _unplanes
 from larkspur.llm.toxicity import held_out
 
@@ -47,8 +48,10 @@ GATHERED, SHARD_TOKENS = 800_000, 400_000
 SLICES = 16
 END = X.U(0x9E3779B97F4A7C15)  # the hash of the end token, which no text can write
 FIRST_RATE, RATE, LIMIT = 0.6, 0.5, 16.0
-#: Pairs of words that are features within classes: at most so many, seen so often, their counts less the discount.
+#: Weights, and normalisers, that are broadcast; how often a pair of words is seen to be a feature, and what its count loses.
 PAIRS, LEAST_PAIR, DISCOUNT = 1 << 21, 2, 0.6
+#: Tokens for each shard of the weights that aren't broadcast, and bits of the bitmap that stands in front of them (16 MB).
+WEIGHT_TOKENS, WEIGHT_BITS = 2_000_000, 1 << 27
 PAIR_ROUNDS, SETTLED = 60, 1e-3
 OTHER = 1 << 31  # from here on a pair's second place is the class of a word outside the table
 
@@ -148,6 +151,27 @@ class Units(NamedTuple):
         return np.where(found, self.unit[at] if len(self.unit) else 0, ending)
 
 
+def _steps(c: np.ndarray) -> np.ndarray:
+    """Steps of a histogram of counts: at most 1024 + 64 * 64."""
+    return np.where(c < 1024, c, 1024 + np.floor(np.log2(np.maximum(c, 1)) * 64).astype(np.int64))
+
+
+def _histogram(c: np.ndarray) -> pa.RecordBatch:
+    step, n = np.unique(_steps(c), return_counts=True)
+    return _rows(["step", "n"], step.astype(np.int64), n.astype(np.int64))
+
+
+def _least(sent: DataFrame, most: int) -> tuple[int, int, int]:
+    """Of the histograms (step, n) that tasks send: the least step from which on at most ``most`` remain, how many these are, and all."""
+    steps = sorted(((r["step"], r["n"]) for r in sent.groupBy("step").agg(F.sum("n").alias("n")).collect()), reverse=True)
+    least, total = 1 << 40, 0
+    for step, n in steps:
+        if total + n > most:
+            break
+        least, total = step, total + n
+    return least, total, sum(n for _, n in steps)
+
+
 class Table(NamedTuple):
     """The frequent words: sorted hashes and counts."""
 
@@ -163,26 +187,16 @@ def frequent(words: DataFrame, most: int) -> tuple[Table, Units]:
     def histogram(batches):
         for batch in batches:
             for raw in batch.column("counts"):
-                c = np.frombuffer(raw.as_buffer(), np.int64)
-                steps = np.where(c < 1024, c, 1024 + np.floor(np.log2(np.maximum(c, 1)) * 64).astype(np.int64))
-                step, n = np.unique(steps, return_counts=True)
-                yield _rows(["step", "n"], step.astype(np.int64), n.astype(np.int64))
+                yield _histogram(np.frombuffer(raw.as_buffer(), np.int64))
 
-    steps = sorted(((r["step"], r["n"]) for r in words.mapInArrow(histogram, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()), reverse=True)
-    least, total = None, 0  # at most 1024 + 64 * 64 steps
-    for step, n in steps:
-        if total + n > most:
-            break
-        least, total = step, total + n
-    complete = total == sum(n for _, n in steps)
-    limit = 1 if complete or least is None else least if least < 1024 else int(np.ceil(2 ** ((least - 1024) / 64)))
+    least, total, distinct = _least(words.mapInArrow(histogram, "step long, n long"), most)
+    complete = total == distinct
 
     def pick(batches):
         for batch in batches:
             for h, c, e in zip(batch.column("hashes"), batch.column("counts"), batch.column("endings")):
                 h, c, e = np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64), np.frombuffer(e.as_buffer(), np.uint16)
-                steps = np.where(c < 1024, c, 1024 + np.floor(np.log2(np.maximum(c, 1)) * 64).astype(np.int64))
-                keep = steps >= (least if least is not None else 1 << 40)
+                keep = _steps(c) >= least
                 if keep.any():
                     yield _rows(["h", "c", "e"], [h[keep].tobytes()], [c[keep].tobytes()], [e[keep].tobytes()])
 
@@ -391,6 +405,22 @@ def class_mass(words: DataFrame, shared_units, cls: np.ndarray) -> tuple[np.ndar
     return n, v
 
 
+class Rest(NamedTuple):
+    """What is known here of the weights and normalisers that aren't broadcast: no key without its bit is among them."""
+
+    shards: int
+    bits: np.ndarray  #: shards x bytes
+
+    def of(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shard and bit of each key."""
+        h = X.mix(key.view(X.U))
+        return (h % X.U(self.shards)).astype(np.int64), (h // X.U(self.shards) % X.U(8 * self.bits.shape[1])).astype(np.int64)
+
+    def may_hold(self, key: np.ndarray) -> np.ndarray:
+        shard, bit = self.of(key)
+        return (self.bits[shard, bit >> 3] >> (7 - (bit & 7)) & 1).astype(bool)
+
+
 class Pairs(NamedTuple):
     """The weights within classes, natural logarithms; both sorted by key."""
 
@@ -398,16 +428,27 @@ class Pairs(NamedTuple):
     weights: np.ndarray
     contexts: np.ndarray  #: previous word and class
     norms: np.ndarray  #: log of the normaliser
+    rest: Rest | None = None  #: None if these are all
 
     def gain(self, before: np.ndarray, word: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """log10 of P(word | class, previous word) over P(word | class). ``before`` is -1, and ``word`` at least OTHER,
-        for words outside the table."""
+        """log10 of P(word | class, previous word) over P(word | class), as far as it is known here. ``before`` is -1, and
+        ``word`` at least OTHER, for words outside the table."""
+        return self.look(before, word, cls)[0]
+
+    def look(self, before: np.ndarray, word: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The gain, and what else may add to it: tokens and keys. A context's key is negative."""
         key = (before << 32) | word
         at, found = _find(self.keys, key)
         out = np.where(found & (before >= 0), self.weights[at] if len(self.keys) else 0.0, 0.0)
         context = before * CLASSES + cls
-        at, found = _find(self.contexts, context)
-        return (out - np.where(found & (before >= 0), self.norms[at] if len(self.contexts) else 0.0, 0.0)) / np.log(10)
+        at, held = _find(self.contexts, context)
+        out = (out - np.where(held & (before >= 0), self.norms[at] if len(self.contexts) else 0.0, 0.0)) / np.log(10)
+        if self.rest is None:
+            return out, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        one, two = np.flatnonzero(~found & (before >= 0) & (word < OTHER)), np.flatnonzero(~held & (before >= 0))
+        token, key = np.concatenate([one, two]), np.concatenate([key[one], -1 - context[two]])
+        there = self.rest.may_hold(key)
+        return out, token[there], key[there]
 
 
 def pair_places(t: Tokens, at: np.ndarray, found: np.ndarray, cls: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -459,19 +500,24 @@ def count_pairs(train: DataFrame, shared, shards: int) -> DataFrame:
     return stored(sent.groupBy("shard").applyInArrow(leanly(add), "shard long, keys binary, counts binary"), "pairs")
 
 
+def _contexts(keys: np.ndarray, counts: np.ndarray, cls: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Which pairs are features; the context of every pair, the contexts and their counts; and which contexts have features."""
+    before, word = keys >> 32, keys & 0xFFFFFFFF
+    inside = word < OTHER
+    context = before * CLASSES + np.where(inside, cls[np.where(inside, word, 0)] if len(cls) else 0, word - OTHER)
+    contexts, at = np.unique(context, return_inverse=True)
+    kept = inside & (counts >= least)
+    return kept, at, contexts, np.bincount(at, counts, len(contexts)), np.unique(at[kept])
+
+
 def fit_shard(keys: np.ndarray, counts: np.ndarray, cls: np.ndarray, share: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     """Keys, weights, contexts and log normalisers of a shard, which holds all pairs of its previous words.
 
     ``cls`` and ``share`` are the class and the share of its class of each word of the table. The gradient of a weight is
     the observed count (less the discount) minus the expected one; a round moves the weight by the log of their ratio.
     """
-    before, word = keys >> 32, keys & 0xFFFFFFFF
-    inside = word < OTHER
-    context = before * CLASSES + np.where(inside, cls[np.where(inside, word, 0)] if len(cls) else 0, word - OTHER)
-    contexts, at = np.unique(context, return_inverse=True)
-    total = np.bincount(at, counts, len(contexts))
-    kept = inside & (counts >= least)
-    at, base, want = at[kept], share[word[kept]], counts[kept] - DISCOUNT
+    kept, at, contexts, total, held = _contexts(keys, counts, cls, least)
+    at, base, want = at[kept], share[keys[kept] & 0xFFFFFFFF], counts[kept] - DISCOUNT
     weight = np.zeros(len(at))
     for _ in range(PAIR_ROUNDS):
         norm = 1 + np.bincount(at, base * np.expm1(weight), len(contexts))
@@ -480,43 +526,109 @@ def fit_shard(keys: np.ndarray, counts: np.ndarray, cls: np.ndarray, share: np.n
         if not len(step) or np.abs(step).max() < SETTLED:
             break
     norm = 1 + np.bincount(at, base * np.expm1(weight), len(contexts))
-    held = np.unique(at)
     return keys[kept], weight.astype(np.float32), contexts[held], np.log(norm[held]).astype(np.float32)
 
 
-def fit_pairs(pairs: DataFrame, m: Model, table: Table, most: int = PAIRS) -> Pairs:
-    """Every shard fits its own weights. At most ``most`` come to the driver: the pairs above a count that a histogram gives."""
+def fit_pairs(pairs: DataFrame, m: Model, table: Table, most: int = PAIRS) -> tuple[Pairs, DataFrame | None]:
+    """Every shard fits its own weights, those of all pairs seen ``LEAST_PAIR`` times. If there are at most ``most``, all come to
+    the driver; or else the weights and the normalisers of the most frequent, ``most`` of each, and the others
+    are (shard, keys, values), a row for each shard, sorted by key as unsigned numbers; the values are log10 and add up."""
+    cls = m.cls[m.units.of(table.hashes, table.endings.astype(np.int64))]
+    shared = pairs.sparkSession.sparkContext.broadcast((cls, (table.counts + 1) / 10 ** m.mass[cls]))  # bounded by the table
 
-    def histogram(batches):
+    def read(batches):
         for batch in batches:
             for keys, counts in zip(batch.column("keys"), batch.column("counts")):
-                c = np.frombuffer(counts.as_buffer(), np.int64)[np.frombuffer(keys.as_buffer(), np.int64) & 0xFFFFFFFF < OTHER]
-                step, n = np.unique(np.minimum(c, 4096), return_counts=True)
-                yield _rows(["step", "n"], step.astype(np.int64), n.astype(np.int64))
+                yield np.frombuffer(keys.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.int64)
 
-    steps = sorted(((r["step"], r["n"]) for r in pairs.mapInArrow(histogram, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()), reverse=True)
-    least, total = 4097, 0
-    for step, n in steps:
-        if step < LEAST_PAIR or total + n > most:
-            break
-        least, total = step, total + n
-    cls = m.cls[m.units.of(table.hashes, table.endings.astype(np.int64))]
-    shared = pairs.sparkSession.sparkContext.broadcast((cls, (table.counts + 1) / 10 ** m.mass[cls]))  # bounded by the table
+    def pair_histogram(batches):
+        for keys, c in read(batches):
+            yield _histogram(c[(keys & 0xFFFFFFFF < OTHER) & (c >= LEAST_PAIR)])
+
+    def context_histogram(batches):
+        for keys, c in read(batches):
+            _, _, _, total, held = _contexts(keys, c, shared.value[0], LEAST_PAIR)
+            yield _histogram(total[held].astype(np.int64))
 
     def fit(batches):
+        for keys, c in read(batches):
+            out = fit_shard(keys, c, *shared.value, LEAST_PAIR)
+            yield _rows(["k", "w", "c", "z"], *[[x.tobytes()] for x in out])
+
+    def gathered(got) -> Pairs:
+        k, w, c, z = (np.frombuffer(b"".join(got.column(x).to_pylist()), kind) for x, kind in (("k", np.int64), ("w", np.float32), ("c", np.int64), ("z", np.float32)))
+        one, two = np.argsort(k), np.argsort(c)
+        return Pairs(k[one], w[one], c[two], z[two])
+
+    least, here, total = _least(pairs.mapInArrow(pair_histogram, "step long, n long"), most)
+    if here == total:
+        return gathered(pairs.mapInArrow(fit, "k binary, w binary, c binary, z binary").toArrow()), None
+    least_context, _, _ = _least(pairs.mapInArrow(context_histogram, "step long, n long"), most)
+    shards = max(SLICES, m.tokens // WEIGHT_TOKENS)
+    dealt = Rest(shards, np.zeros((1, 1), np.uint8))
+    kinds = pa.schema([("shard", pa.int64()), *[(name, pa.binary()) for name in ("keys", "values", "k", "w", "c", "z")]])
+
+    def deal(batches):
+        held, n = [], 0
+
+        def row(**columns):
+            return pa.RecordBatch.from_pylist([{name: x.tobytes() if isinstance(x, np.ndarray) else x for name, x in columns.items()}], kinds)
+
+        def flush():
+            key, value = (np.concatenate(x) for x in zip(*held))
+            shard = dealt.of(key)[0]
+            order = np.argsort(shard, kind="stable")
+            for s, a, b in _cut(shard[order]):
+                yield row(shard=s, keys=key[order[a:b]], values=value[order[a:b]])
+
+        for keys, c in read(batches):
+            k, w, contexts, norms = fit_shard(keys, c, *shared.value, LEAST_PAIR)
+            kept, _, _, total, own = _contexts(keys, c, shared.value[0], LEAST_PAIR)
+            one, two = _steps(c[kept]) >= least, _steps(total[own].astype(np.int64)) >= least_context
+            yield row(k=k[one], w=w[one], c=contexts[two], z=norms[two])
+            held.append((np.concatenate([k[~one], -1 - contexts[~two]]), np.concatenate([w[~one], -norms[~two]]).astype(np.float64) / np.log(10)))
+            n += len(held[-1][0])
+            if n >= GATHERED:
+                yield from flush()
+                held, n = [], 0
+        if n:
+            yield from flush()
+
+    def add(key, table):
+        join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        k, value = join("keys", np.uint64), join("values", np.float64)
+        order = np.argsort(k)
+        return pa.table({"shard": [key[0].as_py()], "keys": [k[order].tobytes()], "values": [value[order].tobytes()]})
+
+    before = made(pairs.sparkSession)
+    fitted = stored(pairs.mapInArrow(deal, "shard long, keys binary, values binary, k binary, w binary, c binary, z binary"), "fitted")
+    own = made(pairs.sparkSession) - before
+    cold = stored(fitted.where("shard IS NOT NULL").groupBy("shard").applyInArrow(leanly(add), "shard long, keys binary, values binary"), "weights")
+    rest = Rest(shards, np.zeros((shards, max(1, WEIGHT_BITS // 8 // shards)), np.uint8))
+    width = rest.bits.shape[1]
+
+    def mark(batches):
         for batch in batches:
-            for keys, counts in zip(batch.column("keys"), batch.column("counts")):
-                out = fit_shard(np.frombuffer(keys.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.int64), *shared.value, least)
-                yield _rows(["k", "w", "c", "z"], *[[x.tobytes()] for x in out])
+            for s, keys in zip(batch.column("shard"), batch.column("keys")):
+                h = X.mix(np.frombuffer(keys.as_buffer(), X.U))
+                bits = np.zeros(8 * width, np.uint8)
+                bits[(h // X.U(shards) % X.U(8 * width)).astype(np.int64)] = 1
+                yield _rows(["shard", "bits"], [s.as_py()], [np.packbits(bits).tobytes()])
 
-    got = pairs.mapInArrow(fit, "k binary, w binary, c binary, z binary").toArrow()
-    k, w, c, z = (np.frombuffer(b"".join(got.column(x).to_pylist()), kind) for x, kind in (("k", np.int64), ("w", np.float32), ("c", np.int64), ("z", np.float32)))
-    one, two = np.argsort(k), np.argsort(c)
-    return Pairs(k[one], w[one], c[two], z[two])
+    for row in cold.mapInArrow(mark, "shard long, bits binary").toArrow().to_pylist():
+        rest.bits[row["shard"]] = np.frombuffer(row["bits"], np.uint8)
+    inner = gathered(fitted.where("shard IS NULL").select("k", "w", "c", "z").toArrow())._replace(rest=rest)
+    release(pairs.sparkSession, own)
+    return inner, cold
 
 
 def train_model(train: DataFrame, words: DataFrame, table_words: int = TABLE_WORDS, rounds: int = ROUNDS, pairs: int = PAIRS) -> tuple[Model, Table, Pairs, list[float]]:
-    """The model, and the log-likelihood of the classes a token before each round. Rounds end when it no longer rises."""
+    """The model, as far as it is broadcast, and the log-likelihood of the classes a token before each round."""
+    return learn(train, words, table_words, rounds, pairs)[:4]
+
+
+def learn(train: DataFrame, words: DataFrame, table_words: int = TABLE_WORDS, rounds: int = ROUNDS, pairs: int = PAIRS) -> tuple[Model, Table, Pairs, list[float], DataFrame | None]:
+    """The model, with the weights that aren't broadcast at the end. Rounds end when the log-likelihood no longer rises."""
     spark = train.sparkSession
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
     table, units = frequent(words, table_words)
@@ -526,7 +638,11 @@ def train_model(train: DataFrame, words: DataFrame, table_words: int = TABLE_WOR
     cls = np.append(cls, 0)
     bias = np.log((n + 1) / (n.sum() + CLASSES))
     m = Model(units, cls, np.zeros((FEATURES, CLASSES), np.float32), bias.astype(np.float32), np.log10(n + v + 1), int(sums["n"]), int(sums["v"]))
-    inner = fit_pairs(count_pairs(train, spark.sparkContext.broadcast((m._replace(weights=None), table)), max(SLICES, m.tokens // SHARD_TOKENS)), m, table, pairs)
+    before = made(spark)
+    counted = count_pairs(train, spark.sparkContext.broadcast((m._replace(weights=None), table)), max(SLICES, m.tokens // SHARD_TOKENS))
+    own = made(spark) - before
+    inner, weights_left = fit_pairs(counted, m, table, pairs)
+    release(spark, own)  # what is left has been fitted
     seen, _ = feature_counts(train, spark.sparkContext.broadcast(m), False)
     guess = seen.sum(1, keepdims=True) * np.exp(bias)[None]  # what weights of zero expect
     weights, curve = np.zeros((FEATURES, CLASSES)), []
@@ -538,11 +654,18 @@ def train_model(train: DataFrame, words: DataFrame, table_words: int = TABLE_WOR
             curve.append(likelihood)
         weights += (RATE if step else FIRST_RATE) * np.log((seen + 2 * np.exp(bias)) / (guess + 2 * np.exp(bias)))
         m = m._replace(weights=np.clip(weights, -LIMIT, LIMIT).astype(np.float32))
-    return m, table, inner, curve
+    return m, table, inner, curve, weights_left
 
 
 def token_scores(m: Model, table: Table, inner: Pairs, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token log10 of its count in the table plus 1, if it is there; whether it is; and the rest of its log10 probability."""
+    """For each token log10 of its count in the table plus 1, if it is there; whether it is; and the rest of its log10
+    probability, as far as it is known here."""
+    own, found, rest, _, _ = known_scores(m, table, inner, t)
+    return own, found, rest
+
+
+def known_scores(m: Model, table: Table, inner: Pairs, t: Tokens) -> tuple[np.ndarray, ...]:
+    """``token_scores``, and the tokens and keys of weights that may add to them."""
     at, found = _find(table.hashes, t.h)
     unit = m.units.of(t.h, t.ending)
     k = m.cls[unit]
@@ -552,13 +675,14 @@ def token_scores(m: Model, table: Table, inner: Pairs, t: Tokens) -> tuple[np.nd
         p, total = odds(m, tuple(r[a:b] for r in rows))
         logp[a:b] = np.log10(p[np.arange(b - a), k[a:b]] / total)
     own = np.where(found, np.log10(table.counts[at] + 1.0) if len(table.counts) else 0.0, 0.0)
-    return own, found, logp - m.mass[k] + inner.gain(*pair_places(t, at, found, k, len(table.hashes)), k)
+    gain, token, key = inner.look(*pair_places(t, at, found, k, len(table.hashes)), k)
+    return own, found, logp - m.mass[k] + gain, token, key
 
 
 SCORED = "row long, doc_id {id}, held_out boolean, n_tokens long, n_known long, base double, model double, shard long, hashes binary, rows binary"
 
 
-def score_documents(docs: DataFrame, table_words: int = TABLE_WORDS, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame, table_words: int = TABLE_WORDS, rounds: int = ROUNDS, pairs: int = PAIRS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
 
     Texts are read whole; one longer than a batch is a batch of its own, and takes some 100 bytes of memory for each word.
@@ -572,32 +696,34 @@ def score_documents(docs: DataFrame, table_words: int = TABLE_WORDS, rounds: int
     train = docs.where(~out_of).select("text")
     shards = max(SLICES, docs.rdd.getNumPartitions())
     words = count_words(train, shards)
-    model, table, inner, _ = train_model(train, words, table_words, rounds)
-    shared = spark.sparkContext.broadcast((model, table, inner))  # bounded by table_words, PAIRS and FEATURES
+    model, table, inner, _, weights = learn(train, words, table_words, rounds, pairs)
+    shared = spark.sparkContext.broadcast((model, table, inner))  # bounded by table_words, pairs, WEIGHT_BITS and FEATURES
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "shard", "hashes", "rows"]
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         m, table, inner = shared.value
         norm = np.log10(m.tokens + m.words + 1)
-        asked, n = [], 0
+        asked, sought, n, ids_type = [], [], 0, None
 
         def send():
-            h, r = (np.concatenate(x) for x in zip(*asked))
-            shard = (h % X.U(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            for s, a, b in _cut(shard[order]):
-                at = order[a:b]
-                yield pa.RecordBatch.from_arrays([pa.array([None], k) for k in (pa.int64(), ids_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())] + [pa.array([s], pa.int64()), pa.array([h[at].tobytes()]), pa.array([r[at].tobytes()])], names)
+            for held, shard_of, sign in ((asked, lambda h: (h % X.U(shards)).astype(np.int64), 0), (sought, lambda k: inner.rest.of(k)[0], -1)):
+                if not held:
+                    continue
+                h, r = (np.concatenate(x) for x in zip(*held))
+                shard = shard_of(h) ^ sign  # those of weights below zero
+                order = np.argsort(shard, kind="stable")
+                for s, a, b in _cut(shard[order]):
+                    at = order[a:b]
+                    yield pa.RecordBatch.from_arrays([pa.array([None], k) for k in (pa.int64(), ids_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())] + [pa.array([s], pa.int64()), pa.array([_planes(h[at])]), pa.array([_planes(np.diff(r[at], prepend=0))])], names)
 
-        ids_type = None
         for batch in batches:
             ids_type = batch.schema.field("doc_id").type
             row = batch.column("row").to_numpy()
             known, base, score, size = [], [], [], []
             for lo, hi, buf, off in text_pieces(batch):
                 t = tokenise(buf, off)
-                own, found, rest = token_scores(m, table, inner, t)
+                own, found, rest, token, key = known_scores(m, table, inner, t)
                 texts = hi - lo
                 known.append(np.bincount(t.doc, found, texts).astype(np.int64))
                 base.append(np.bincount(t.doc, own - norm, texts))
@@ -606,44 +732,51 @@ def score_documents(docs: DataFrame, table_words: int = TABLE_WORDS, rounds: int
                 if not table.complete and not found.all():
                     asked.append((t.h[~found], row[lo:hi][t.doc[~found]]))
                     n += len(asked[-1][0])
+                if len(token):
+                    sought.append((key, row[lo:hi][t.doc[token]]))
+                    n += len(token)
             cols = [pa.array(np.concatenate(x)) for x in (size, known, base, score)]
             nothing = [pa.nulls(len(row), k) for k in (pa.int64(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), *cols, *nothing], names)
             if n >= TASK_TOKENS:
                 yield from send()
-                asked, n = [], 0
+                asked, sought, n = [], [], 0
         if n:
             yield from send()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", out_of.alias("held_out"), "text")
     done = rows.mapInArrow(run, SCORED.format(id=id_type))
-    if table.complete:
-        main = done.select(*names[:7], F.lit(0.0).alias("more"), F.lit(0).alias("found"))
-    else:
+    if not table.complete or weights is not None:
         done = stored(done, "scored")
-        extra = resolve(done.where("shard IS NOT NULL").select("shard", "hashes", "rows"), words, shards)
-        main = done.where("shard IS NULL").select(*names[:7]).join(extra.select(F.col("row").alias("_r"), "more", "found"), F.col("row") == F.col("_r"), "left")
-    more = F.coalesce("more", F.lit(0.0))
+    main, asked_of = done.where("shard IS NULL").select(*names[:7]), done.select("shard", "hashes", "rows")
+    more, found, gain = F.lit(0.0), F.lit(0), F.lit(0.0)
+    if not table.complete:
+        extra = resolve(asked_of.where("shard >= 0"), words.select("shard", "hashes", "counts"), shards, lambda c: np.log10(c.view(np.int64) + 1.0))
+        main = main.join(extra.select(F.col("row").alias("_r"), "more", "found"), F.col("row") == F.col("_r"), "left").drop("_r")
+        more, found = F.coalesce("more", more), F.coalesce("found", found)
+    if weights is not None:
+        left = weights.select((-1 - F.col("shard")).alias("shard"), F.col("keys").alias("hashes"), F.col("values").alias("counts"))
+        extra = resolve(asked_of.where("shard < 0"), left, inner.rest.shards, lambda x: x)
+        main = main.join(extra.select(F.col("row").alias("_r"), F.col("more").alias("gain")), F.col("row") == F.col("_r"), "left").drop("_r")
+        gain = F.coalesce("gain", gain)
     return main.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).cast("bigint").alias("n_known"),
-        F.lit(model.tokens).cast("bigint").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"),
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + found).cast("bigint").alias("n_known"),
+        F.lit(model.tokens).cast("bigint").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("model") + more + gain).alias("score"),
     )
 
 
-def resolve(asked: DataFrame, words: DataFrame, shards: int) -> DataFrame:
-    """(row, more, found): for words outside the table, the sum of log10(count + 1) and how many are known."""
+def resolve(asked: DataFrame, held: DataFrame, shards: int, worth) -> DataFrame:
+    """(row, more, found): for each row the sum of what its keys are worth, and how many of them are held. Held are (shard,
+    hashes, counts), the hashes of a shard sorted; ``worth`` makes numbers of the counts, as 64-bit floats in memory."""
 
     def look(key, left, right):
         join = lambda t, name, kind: np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
-        h, r = join(left, "hashes", np.uint64), join(left, "rows", np.int64)
-        u, c = join(right, "hashes", np.uint64), join(right, "counts", np.int64)
-        count = np.zeros(len(h), np.int64)
-        if len(u) and len(h):
-            at = np.minimum(np.searchsorted(u, h), len(u) - 1)
-            count = np.where(u[at] == h, c[at], 0)
-        seen = count > 0
+        apart = lambda name, kind: [_unplanes(np.frombuffer(x.as_buffer(), np.uint8), kind) for x in left.column(name)]
+        h, r = np.concatenate([*apart("hashes", np.uint64), np.zeros(0, np.uint64)]), np.concatenate([*map(np.cumsum, apart("rows", np.int64)), np.zeros(0, np.int64)])
+        u, value = join(right, "hashes", np.uint64), worth(join(right, "counts", np.float64))
+        at, seen = _find(u, h)
         row, back = np.unique(r[seen], return_inverse=True)
-        more, found = np.bincount(back, np.log10(count[seen] + 1.0), len(row)), np.bincount(back, minlength=len(row))
+        more, found = np.bincount(back, value[at[seen]], len(row)), np.bincount(back, minlength=len(row))
         share = (X.mix(row.view(X.U)) % X.U(shards)).astype(np.int64)
         order = np.argsort(share, kind="stable")
         out = [(s, row[order[a:b]].tobytes(), more[order[a:b]].tobytes(), found[order[a:b]].astype(np.int64).tobytes()) for s, a, b in _cut(share[order])]
@@ -654,8 +787,7 @@ def resolve(asked: DataFrame, words: DataFrame, shards: int) -> DataFrame:
         row, back = np.unique(join("row", np.int64), return_inverse=True)
         return pa.table({"row": row, "more": np.bincount(back, join("more", np.float64), len(row)), "found": np.bincount(back, join("found", np.int64), len(row)).astype(np.int64)})
 
-    right = words.select("shard", "hashes", "counts")
-    sent = asked.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(leanly(look), "share long, row binary, more binary, found binary")
+    sent = asked.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(leanly(look), "share long, row binary, more binary, found binary")
     return sent.groupBy("share").applyInArrow(leanly(add), "row long, more double, found long")
 
 

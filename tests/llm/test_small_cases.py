@@ -777,6 +777,31 @@ def test_language_model_equals_plain_python(language):
     assert got.keys() == dict(rows).keys() and all(math.isfinite(x) and x < 0 for x in got.values())
 
 
+@pytest.mark.parametrize("table", [1 << 20, 20])
+def test_every_pair_counts_whatever_is_broadcast(language, monkeypatch, table):
+    """A bound on the weights that are broadcast changes no score: neither of pairs nor of normalisers, whatever the bitmap lets pass."""
+    df, *_ = language
+    whole = sorted((r["doc_id"], r["n_known"], r["base_score"], r["score"]) for r in lm.score_documents(df, table).collect())
+    for pairs, bits in ((0, 1 << 20), (3, 128), (60, 1 << 20)):
+        monkeypatch.setattr(lm, "WEIGHT_BITS", bits)
+        got = sorted((r["doc_id"], r["n_known"], r["base_score"], r["score"]) for r in lm.score_documents(df, table, pairs=pairs).collect())
+        assert len(got) == len(whole) and np.allclose(got, whole, atol=1e-4)
+
+
+def test_pairs_that_are_not_broadcast_stay_in_shards(language, monkeypatch):
+    df, *_ = language
+    train = df.where(~lm.held_out(F.col("doc_id"), 7, 2)).select("text")
+    *_, inner, _, none = lm.learn(train, lm.count_words(train, 4))
+    *_, few, _, rest = lm.learn(train, lm.count_words(train, 4), pairs=20)
+    assert none is None and 0 < len(few.keys) <= 20 and 0 < len(few.contexts) <= 20
+    held = {}
+    for r in rest.collect():
+        held |= dict(zip(np.frombuffer(r["keys"], np.int64).tolist(), np.frombuffer(r["values"]).tolist()))
+    want = dict(zip(inner.keys.tolist(), (inner.weights / math.log(10)).tolist())) | dict(zip((-1 - inner.contexts).tolist(), (-inner.norms / math.log(10)).tolist()))
+    assert held.keys() == want.keys() - set(few.keys.tolist()) - set((-1 - few.contexts).tolist())
+    assert all(abs(held[k] - want[k]) < 1e-4 for k in held)
+
+
 def test_pair_weights_meet_their_counts():
     """At the end of the gradient rounds the model expects what was counted, less the discount."""
     g = np.random.default_rng(3)
