@@ -135,8 +135,9 @@ def _find(sorted_: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each hash is, or would be, and whether it is there."""
     if not len(sorted_):
         return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(sorted_, h), len(sorted_) - 1)
-    return at, sorted_[at] == h
+    u, back = np.unique(h, return_inverse=True)  # sorted values are found faster
+    at = np.minimum(np.searchsorted(sorted_, u), len(sorted_) - 1)
+    return at[back], (sorted_[at] == u)[back]
 
 
 class Units(NamedTuple):
