@@ -31,7 +31,7 @@ from larkspur.llm.common import bounded_batches, filter_bit, has_bit, key_filter
 
 WINDOW = 20
 #: Windows that a task settles at once, and windows of a group.
-TASK_WINDOWS, GROUP_WINDOWS = 1_500_000, 1_000_000
+TASK_WINDOWS, GROUP_WINDOWS = 800_000, 400_000
 #: Marks of a row that a task has settled itself.
 ROW_MARKS = 100_000
 #: Prefixes of each length are counted in so many bins.

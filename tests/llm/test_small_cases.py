@@ -674,6 +674,22 @@ def test_group_plan():
     assert 0 < short < len(alone)  # some groups hold one first word alone, others several
 
 
+def test_groups_are_settled_in_bounded_memory():
+    """A full group, a third of it one passage, takes at most 40 MB of its worker."""
+    import tracemalloc
+
+    g = np.random.default_rng(1)
+    h, d = g.integers(0, 1 << 60, repeats.GROUP_WINDOWS).astype(np.uint64), np.sort(g.integers(0, 1 << 20, repeats.GROUP_WINDOWS))
+    h[::3] = h[0]
+    raw = repeats.pack(d, np.arange(len(h), dtype=np.int32), h)
+    tracemalloc.start()
+    d, s, h = repeats.unpack(raw, True)
+    first, later = repeats.settle(h, d, s)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert later.sum() >= len(h) // 3 - 1 and peak < 40e6
+
+
 def test_repeat_spans(spark):
     rows = [(1, " ".join(f"a{i}" for i in range(60))), (2, "x y " + " ".join(f"a{i}" for i in range(10, 50)) + " z"), (3, "q " + " ".join(f"a{i}" for i in range(25)) + " r " + " ".join(f"a{i}" for i in range(30, 60))), (4, "short"), (None, None)]
     got = repeats.repeat_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
