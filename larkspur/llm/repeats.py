@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import textnum as X
-from larkspur.llm.common import bounded_batches, filter_bit, has_bit, key_filter, leanly, load, stored, text_pieces
+from larkspur.llm.common import BATCH_BYTES, bounded_batches, filter_bit, has_bit, key_filter, leanly, load, stored, text_pieces
 
 WINDOW = 20
 #: Windows that a task settles at once, and windows of a group.
@@ -221,8 +221,16 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield int(sorted_[a]), pack(d[at], s[at], h[at])
 
         def batch_of(rows):
+            groups, packed, size = [], [], 0
             for group, raw in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([raw], pa.binary())], ["group", "packed"])
+                groups.append(group)
+                packed.append(raw)
+                size += len(raw)
+                if size >= BATCH_BYTES // 4:
+                    yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(packed, pa.binary())], ["group", "packed"])
+                    groups, packed, size = [], [], 0
+            if groups:
+                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(packed, pa.binary())], ["group", "packed"])
 
         for batch in batches:
             ids = batch.column(0).fill_null(NULL_ID).to_numpy()
