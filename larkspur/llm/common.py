@@ -186,6 +186,24 @@ def text_pieces(batch: pa.RecordBatch, name: str = "text", most: int = PIECE_BYT
     give_back()
 
 
+def row_batches(rows, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """(key, bytes) rows in batches of about a quarter of ``BATCH_BYTES``: a batch for each row costs the JVM more than the row."""
+    keys, packed, size = [], [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], names)
+
+    for key, raw in rows:
+        keys.append(key)
+        packed.append(raw)
+        size += len(raw)
+        if size >= BATCH_BYTES // 4 or len(keys) >= BATCH_ROWS:
+            yield batch()
+            keys, packed, size = [], [], 0
+    if keys:
+        yield batch()
+
+
 def key_filter(keys: DataFrame, column: str, at_least: int = 1 << 20, at_most: int = 1 << 27) -> np.ndarray:
     """A bitmap of the hashes of a column's values: no false negatives, and at most 16 MB.
 

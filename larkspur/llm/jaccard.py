@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import textnum as X
-from larkspur.llm.common import bounded_batches, filter_bit, has_bit, key_filter, leanly, load, stored, text_pieces
+from larkspur.llm.common import bounded_batches, filter_bit, has_bit, key_filter, leanly, load, row_batches, stored, text_pieces
 from larkspur.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -208,14 +208,14 @@ def partners(docs: DataFrame, frequent: Frequent, shingles: int) -> DataFrame:
     shares = max(2 * lanes, buckets // 2)
     shared = spark.sparkContext.broadcast(frequent)  # bounded by TABLE
 
-    def send(batches):
+    def rows_of(batches):
         common = shared.value
         for ids, sizes, h in _chunks(batches, TASK_SHINGLES):
             own = np.repeat(np.arange(len(ids)), sizes)
             at, hot = common.find(h)
             if hot.any():
                 for s, raw in _by_share(ids[own[hot]], sizes[own[hot]], h[hot], (1 << 40) + common.rank[at[hot]], shares):
-                    yield pa.RecordBatch.from_arrays([pa.array([-1 - s], pa.int64()), pa.array([raw])], ["bucket", "packed"])
+                    yield -1 - s, raw
             own, h = own[~hot], h[~hot]
             bucket = ((h >> X.U(32)) * X.U(buckets) >> X.U(32)).astype(np.int64)
             order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
@@ -224,7 +224,10 @@ def partners(docs: DataFrame, frequent: Frequent, shingles: int) -> DataFrame:
                 o = own[order[a:b]]
                 new = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
                 raw = _pack_sets(ids[o[new]], sizes[o[new]], np.diff(np.append(new, len(o))), h[order[a:b]])
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([raw])], ["bucket", "packed"])
+                yield k, raw
+
+    def send(batches):
+        yield from row_batches(rows_of(batches), ["bucket", "packed"])
 
     out = pa.schema([("share", pa.int64()), ("packed", pa.binary())])
 
@@ -286,7 +289,7 @@ def lists(sets: DataFrame, frequent: Frequent) -> DataFrame:
     shared = spark.sparkContext.broadcast(frequent)
     names = ["list", "sid", "gid", "n", "pos", "salt", "part"]
 
-    def send(batches):
+    def rows_of(batches):
         common = shared.value
         for batch in batches:
             sid, gid, n, q, single = (batch.column(c).to_numpy() for c in ("sid", "gid", "n", "q", "single"))
@@ -304,7 +307,10 @@ def lists(sets: DataFrame, frequent: Frequent) -> DataFrame:
             deal = (sid[own] % parts) << 32  # apart for each task that a frequent shingle's rows go to
             rec = np.column_stack([h.view(np.int64), sid[own], gid[own], n[own], pos, salt, deal])[order]
             for b, x, y in _cut(bucket[order]):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([rec[x:y].tobytes()])], ["bucket", "packed"])
+                yield b, rec[x:y].tobytes()
+
+    def send(batches):
+        yield from row_batches(rows_of(batches), ["bucket", "packed"])
 
     def gather(key, table):
         rec = np.concatenate([np.frombuffer(raw.as_buffer(), np.int64).reshape(-1, len(names)) for raw in table.column("packed")])

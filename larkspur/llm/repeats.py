@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import textnum as X
-from larkspur.llm.common import BATCH_BYTES, bounded_batches, filter_bit, has_bit, key_filter, leanly, load, stored, text_pieces
+from larkspur.llm.common import bounded_batches, filter_bit, has_bit, key_filter, leanly, load, row_batches, stored, text_pieces
 
 WINDOW = 20
 #: Windows that a task settles at once, and windows of a group.
@@ -220,18 +220,6 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 at = order[a:b]
                 yield int(sorted_[a]), pack(d[at], s[at], h[at])
 
-        def batch_of(rows):
-            groups, packed, size = [], [], 0
-            for group, raw in rows:
-                groups.append(group)
-                packed.append(raw)
-                size += len(raw)
-                if size >= BATCH_BYTES // 4:
-                    yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(packed, pa.binary())], ["group", "packed"])
-                    groups, packed, size = [], [], 0
-            if groups:
-                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(packed, pa.binary())], ["group", "packed"])
-
         for batch in batches:
             ids = batch.column(0).fill_null(NULL_ID).to_numpy()
             for a, b, buf, off in text_pieces(batch):
@@ -242,9 +230,9 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     held.append((prefixes[-1], ids[a:b][doc], (at - w.first[doc]).astype(np.int32), place(plan.value, prefixes).astype(np.int32)))
                     n += len(at)
                 if n >= TASK_WINDOWS:
-                    yield from batch_of(flush())
+                    yield from row_batches(flush(), ["group", "packed"])
         if n:
-            yield from batch_of(flush())
+            yield from row_batches(flush(), ["group", "packed"])
 
     def trees(key, table):
         own = key[0].as_py() >= 0

@@ -882,6 +882,13 @@ def test_bounded_pieces_cover_all():
     assert got[0][0] == 0 and got[-1][1] == 5 and all(a[1] == b[0] for a, b in zip(got, got[1:]))
 
 
+def test_packed_rows_leave_in_few_batches():
+    rows = [(i, bytes(r)) for i, r in enumerate([3, 0, 2 << 20, *[100_000] * 40, *[8] * 5000])]
+    got = list(common.row_batches(iter(rows), ["group", "packed"]))
+    assert [tuple(x.values()) for b in got for x in b.to_pylist()] == rows
+    assert len(got) < 10 and all(b.num_rows <= common.BATCH_ROWS for b in got) and not list(common.row_batches([], ["group", "packed"]))
+
+
 def test_key_filter(spark):
     keys = spark.range(0, 2000, 2).withColumnRenamed("id", "k")
     bitmap = common.key_filter(keys, "k")
