@@ -13,7 +13,7 @@ Everything is learned from the whole training part, in passes over the corpus:
 2. contexts of frequent words and of word endings, from which a k-means makes the classes;
 3. counts of all pairs of neighbouring words, exact, in shards of previous words. Each shard fits the weights of its
    pairs by gradient rounds, scaled as iterative scaling does, until they stop moving: their expected counts become the
-   observed ones less ``DISCOUNT``. Pairs seen ``LEAST_PAIR`` times or more are features, all of them, so the model grows
+   observed ones less ``DISCOUNT``. All pairs of words of the table seen ``LEAST_PAIR`` times or more are features, so the model grows
    with the corpus. Of over ``PAIRS`` weights or normalisers the most frequent are broadcast, and the others stay in shards;
 4. feature counts given the class, and rounds of gradient updates: tasks send the observed and the
    expected feature counts, whose difference is the gradient; each round scales it per feature as
